@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("plans_quantiles", "plans_looks", "plans_pieces", "plans_tokens", "plans_spans")
+FAMILIES = ("plans_repair", "plans_quantiles", "plans_looks", "plans_pieces", "plans_tokens", "plans_spans")
 
 
 def _modules() -> list:
