@@ -9,7 +9,6 @@ words show is likely, one that a single name shows is not.
 from __future__ import annotations
 
 import math
-import sys
 import unicodedata
 from collections import defaultdict
 
@@ -97,13 +96,13 @@ class WordList:
         return out
 
 class Form:
-    """What the repair needs to know of one spelling."""
+    """What the repair needs to know of one spelling; a null text is a form of nothing."""
 
-    __slots__ = ("alphabetic", "candidates", "core", "divided", "dividers", "listed", "lower", "stem")
+    __slots__ = ("alphabetic", "core", "divided", "dividers", "listed", "lower", "stem")
 
-    def __init__(self, text: str, words: WordList) -> None:
-        shown = plain(text)
-        self.core = sys.intern(shown.strip(MARKS).lower())
+    def __init__(self, text: str | None, words: WordList) -> None:
+        shown = plain(text or "")
+        self.core = shown.strip(MARKS).lower()
         self.listed = words.ids.get(self.core, -1)
         self.lower = shown[:1].islower()
         self.alphabetic = self.listed < 0 and any(c.isalpha() for c in self.core)
@@ -112,7 +111,6 @@ class Form:
         self.dividers = shown[len(bare) :]
         #: What a second half would be joined to: nothing, if marks follow the word.
         self.stem = bare.lower().lstrip(MARKS) if bare[-1:].isalpha() else ""
-        self.candidates: list | None = None
 
 
 class Forms:
@@ -121,19 +119,14 @@ class Forms:
     def __init__(self, words: WordList, limit: int = 200_000) -> None:
         self.words, self.limit, self.held = words, limit, {}
 
-    def __call__(self, text: str | None) -> Form | None:
+    def __call__(self, text: str | None) -> Form:
         got = self.held.get(text)
-        if got is None and text is not None:
+        if got is None:
             if len(self.held) >= self.limit:
                 self.held.clear()
             got = self.held[text] = Form(text, self.words)
         return got
 
-    def candidates(self, form: Form) -> list[tuple[int, str, int]]:
-        if form.candidates is None:
-            form.candidates = self.words.one_edit(form.core)
-        return form.candidates
-
 
 _lists: dict[int, tuple[WordList, Forms]] = {}
 

@@ -19,7 +19,6 @@ gives nothing.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 import re
@@ -29,6 +28,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ MAX_ERRORS = 3
 #: Share of words that the channel changes, and of words that are not listed: the priors of decoding.
 P_MISREAD, P_UNLISTED = 0.02, 0.03
 LETTER = math.log(1 / 30)
-PAGE, RUN, GRAM, CONFUSED, REPAIR, VOTE = range(6)
+PAGE, RUN, GRAM, REPAIR, VOTE = range(5)
 STEP = "kind int, page_id string, book_id string, a bigint, b bigint, text string"
 
 #: Confusions known of blackletter print (true>seen), each worth as much as one observation.
@@ -57,141 +57,165 @@ def sequence_of(page_id: str | None) -> tuple[str, int] | None:
     return (page_id[: found.start()], int(found.group(1))) if found else None
 
 
-def _stable(form: str) -> int:
-    return int.from_bytes(hashlib.blake2b(form.encode(), digest_size=8).digest(), "big", signed=True)
-
-
 class Reader:
-    """Step 1 for the pages of one partition."""
+    """Step 1 for the pages of one partition, a batch of whole pages at a time."""
 
     def __init__(self, words: WordList, forms: Forms) -> None:
         self.words, self.forms = words, forms
         self.out: tuple[list, ...] = ([], [], [], [], [], [])
         self.grams: list[np.ndarray] = []
         self.n_grams = 0
-        self.evidence: set[tuple[str, int]] = set()
 
     def put(self, kind: int, page: str | None = None, book: str | None = None, a: int | None = None, b: int | None = None, text: str | None = None) -> None:
         for column, value in zip(self.out, (kind, page, book, a, b, text), strict=True):
             column.append(value)
 
-    def batch(self) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        made = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(self.out, kinds, strict=True)], names=["kind", "page_id", "book_id", "a", "b", "text"])
-        self.out = ([], [], [], [], [], [])
-        return made
-
-    def count_grams(self) -> None:
-        if self.grams:
+    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """What has come together so far; bigrams once there are many or at the end."""
+        if last or len(self.out[0]) > 20_000:
+            yield _step_batch(*[pa.array(v, t) for v, t in zip(self.out, STEP_TYPES, strict=True)])
+            self.out = ([], [], [], [], [], [])
+        if self.grams and (last or self.n_grams > 1_000_000):
+            size = len(self.words.words) + 1
             codes, n = np.unique(np.concatenate(self.grams), return_counts=True)
-            self.put_many(GRAM, codes.tolist(), n.tolist())
-            size = len(self.words.words)
-            first, back = np.unique(codes // (size + 1), return_inverse=True)
-            self.put_many(GRAM, (first * (size + 1) + size).tolist(), np.bincount(back, weights=n).astype(int).tolist())
-        self.grams, self.n_grams = [], 0
-
-    def put_many(self, kind: int, a: list[int], b: list[int]) -> None:
-        none = [None] * len(a)
-        for column, values in zip(self.out, ([kind] * len(a), none, none, a, b, none), strict=True):
-            column.extend(values)
-
-    def read(self, page_id: str | None, block: int, cols: dict[str, list]) -> None:
-        """One page (or block of lines of a huge one), its words in order and each once."""
-        texts, ids = cols["text"], cols["word_id"]
-        place = list(zip(cols["region_ord"], cols["line_ord"], strict=True))
-        forms = [self.forms(t) for t in texts]
-        listed = np.fromiter((-1 if f is None else f.listed for f in forms), dtype=np.int64, count=len(forms))
-        starts = [0] + [i for i in range(1, len(place)) if place[i] != place[i - 1] or None in place[i]]
-        ends = [*starts[1:], len(place)]
-        taken = self._divided(page_id, forms, texts, ids, starts, ends)
-        self._runs(forms, ids, starts, ends, taken)
-        inner = np.ones(len(place), dtype=bool)
-        inner[starts] = False
-        pairs = np.flatnonzero(inner[1:] & (listed[1:] >= 0) & (listed[:-1] >= 0)) + 1
-        if len(pairs):
-            self.grams.append(listed[pairs - 1] * (len(self.words.words) + 1) + listed[pairs])
-            self.n_grams += len(pairs)
-            if self.n_grams > 1_000_000:
-                self.count_grams()
-        if page_id is not None and block == 0:
-            self._page(page_id, cols, forms, texts, ids, place, starts, ends, taken)
-
-    def _divided(self, page_id: str | None, forms: list, texts: list, ids: list, starts: list[int], ends: list[int]) -> set[int]:
-        """Words divided between two lines of the page; returns their positions."""
+            first, back = np.unique(codes // size, return_inverse=True)
+            codes = np.concatenate([codes, first * size + size - 1])
+            n = np.concatenate([n, np.bincount(back, weights=n).astype(np.int64)])
+            self.grams, self.n_grams = [], 0
+            none = pa.nulls(len(codes), pa.string())
+            yield _step_batch(pa.array(np.full(len(codes), GRAM, dtype=np.int32)), none, none, pa.array(codes), pa.array(n), none)
+
+    def read(self, batch: pa.RecordBatch) -> None:
+        """Whole pages (or blocks of lines of huge ones), rows in order; a word delivered twice counts once."""
+        batch = batch.filter(pc.is_valid(batch.column("word_id")))
+        ids = batch.column("word_id").to_numpy()
+        if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
+            batch = batch.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]])))
+            ids = batch.column("word_id").to_numpy()
+        if not len(ids):
+            return
+        text = batch.column("text")
+        texts = text.to_pylist()
+        fresh = _changes(batch.column("page_id")) | _changes(batch.column("block"))
+        region, line = (batch.column(c).fill_null(-1).to_numpy() for c in ("region_ord", "line_ord"))
+        begins = fresh | (region < 0) | (line < 0)
+        begins[1:] |= (region[1:] != region[:-1]) | (line[1:] != line[:-1])
+        held, form = self.forms.held, self.forms
+        forms = [held.get(t) or form(t) for t in texts]
+        listed = np.array([f.listed for f in forms], dtype=np.int64)
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(ids))
+        at = _Pages(batch, ids.tolist(), texts, forms, region.tolist(), fresh, starts.tolist(), ends.tolist())
+        taken = self._divided(at)
+        self._runs(at, listed, begins, taken)
+        pairs = np.flatnonzero(~begins[1:] & (listed[1:] >= 0) & (listed[:-1] >= 0)) + 1
+        self.grams.append(listed[pairs - 1] * (len(self.words.words) + 1) + listed[pairs])
+        self.n_grams += len(pairs)
+        chars = np.append(0, np.cumsum(pc.utf8_length(text).fill_null(0).to_numpy() + 1))
+        widths = (chars[ends] - chars[starts]).tolist()
+        firsts = np.flatnonzero(fresh[starts]).tolist()
+        for first, end in zip(firsts, [*firsts[1:], len(starts)], strict=True):
+            self._page(at, first, end, widths, taken)
+
+    def _divided(self, at: _Pages) -> set[int]:
+        """Words divided between two lines of the page; returns their positions.
+
+        Between regions only a listed word joins: a page number or a note may follow the text instead.
+        """
         taken: set[int] = set()
-        if page_id is None:
-            return taken
-        for k in range(len(starts) - 1):
-            left, right = ends[k] - 1, starts[k + 1]
-            if joins(forms[left], forms[right], self.words):
-                taken |= {left, right}
-                self.put(REPAIR, a=ids[left], text=joined(texts[left], texts[right]))
-                self.put(REPAIR, a=ids[right])
+        forms, fresh, known = at.forms, at.fresh, self.words.ids
+        for end, start in zip(at.ends[:-1], at.starts[1:], strict=True):
+            a, b = forms[end - 1], forms[start]
+            if not b.lower or not a.stem or not (a.divided or (a.listed < 0 and b.listed < 0)) or fresh[start]:
+                continue
+            if joins(a, b, self.words) and (at.region[end - 1] == at.region[start] or a.stem + b.core in known):
+                taken |= {end - 1, start}
+                self.put(REPAIR, a=at.ids[end - 1], text=joined(at.texts[end - 1], at.texts[start]))
+                self.put(REPAIR, a=at.ids[start])
         return taken
 
-    def _runs(self, forms: list, ids: list, starts: list[int], ends: list[int], taken: set[int]) -> None:
-        for start, end in zip(starts, ends, strict=True):
-            i = start
-            while i < end:
-                if not self._unlisted(forms[i], i in taken, i == end - 1):
-                    i += 1
-                    continue
-                run = i
-                while i < end and self._unlisted(forms[i], i in taken, i == end - 1):
-                    self._evidence(forms[i])
-                    i += 1
-                side = [forms[j].listed if start <= j < end and forms[j] is not None and j not in taken else -1 for j in (run - 1, i)]
-                self.put(RUN, a=ids[run], text=json.dumps([*side, [[ids[j], forms[j].core] for j in range(run, i)]], ensure_ascii=False))
-
-    @staticmethod
-    def _unlisted(form: Form | None, taken: bool, line_end: bool) -> bool:
-        """Whether a word may be a misread one; a kept or dividing hyphen at its end is no stray sign."""
-        if form is None or form.listed >= 0 or taken or not form.alphabetic:
-            return False
-        return not form.divided or form.dividers == "~"
-
-    def _evidence(self, form: Form) -> None:
-        core = form.core
-        if len(core) >= 5 and core.isalpha():
-            found = self.forms.candidates(form)
-            if found and len({c[0] for c in found}) == 1:
-                self.evidence.update((c[1], _stable(core)) for c in found)
-
-    def _page(self, page_id: str, cols: dict, forms: list, texts: list, ids: list, place: list, starts: list[int], ends: list[int], taken: set[int]) -> None:
+    def _runs(self, at: _Pages, listed: np.ndarray, begins: np.ndarray, taken: set[int]) -> None:
+        """Runs of unlisted words of a line with the listed words (or -1) on either side."""
+        forms, ids, n = at.forms, at.ids, len(listed)
+        odd = [i for i in np.flatnonzero(listed < 0).tolist() if forms[i].alphabetic and i not in taken and (not forms[i].divided or forms[i].dividers == "~")]
+        at_start = begins.tolist()
+        k = 0
+        while k < len(odd):
+            run = [odd[k]]
+            while k + 1 < len(odd) and odd[k + 1] == run[-1] + 1 and not at_start[odd[k + 1]]:
+                k += 1
+                run.append(odd[k])
+            k += 1
+            left, right = run[0] - 1, run[-1] + 1
+            before = int(listed[left]) if not at_start[run[0]] and left not in taken else -1
+            after = int(listed[right]) if right < n and not at_start[right] and right not in taken else -1
+            self.put(RUN, a=ids[run[0]], text=json.dumps([before, after, [[ids[i], forms[i].core] for i in run]], ensure_ascii=False))
+
+    def _page(self, at: _Pages, first: int, end: int, widths: list[int], taken: set[int]) -> None:
         """The edge lines, and the words at line ends and starts that a neighbouring page may continue."""
-        lines = []
-        sizes = Counter(place[s][0] for s in starts)
-        longest = max(sum(len(t or "") + 1 for t in texts[s:e]) for s, e in zip(starts, ends, strict=True))
-        first_regions = sorted({place[s][0] for s in starts if place[s][0] is not None})[:2]
-        n = len(starts)
-        for k in range(n):
-            top, foot = k < EDGE_LINES, k >= n - EDGE_LINES
-            if not top and not foot:
-                continue
-            shown = [plain(t) for t in texts[starts[k] : ends[k]] if t is not None]
-            region = place[starts[k]][0]
-            size = sizes[region]
-            line = read_line([w for w in shown if w]) | {"type": (cols["region_type"][starts[k]] or "").lower(), "k_no": k, "ids": ids[starts[k] : ends[k]]}
-            number_by = size == 2 and any(read_line([plain(t) for t in texts[starts[j] : ends[j]] if t is not None])["n"] is not None for j in (k - 1, k + 1) if 0 <= j < n and place[starts[j]][0] == region)
-            line |= {"top": top and region in first_regions, "single": size == 1 or number_by, "small": size <= 2, "alone": k == 0 and (size == 1 or number_by) or (k == 1 and number_by), "long": len(" ".join(shown)) > 0.9 * longest}
-            if line["n"] is not None and line["k"] and not line["single"]:
-                line["n"] = None
+        row = at.starts[first]
+        page_id, block = at.batch.column("page_id")[row].as_py(), at.batch.column("block")[row].as_py()
+        if page_id is None or block != 0:
+            return
+        book_id, types = at.batch.column("book_id")[row].as_py(), at.batch.column("region_type")
+        starts, ends = at.starts[first:end], at.ends[first:end]
+        regions = [at.region[s] for s in starts]
+        sizes, longest, n = Counter(regions), max(widths[first:end]), len(starts)
+        top_regions = sorted(set(regions[:EDGE_LINES]))[:2]
+        lines, numbered = [], {}
+        edge = sorted({*range(min(EDGE_LINES, n)), *range(max(0, n - EDGE_LINES), n)})
+        for k in edge:
+            shown = [plain(t) for t in at.texts[starts[k] : ends[k]] if t is not None]
+            line = read_line([w for w in shown if w]) | {"k_no": k, "type": (types[starts[k]].as_py() or "").lower(), "ids": at.ids[starts[k] : ends[k]]}
+            numbered[k] = line["n"] is not None
             lines.append(line)
+        for line in lines:
+            k = line["k_no"]
+            region, size = regions[k], sizes[regions[k]]
+            number_by = size == 2 and any(numbered.get(j) and regions[j] == region for j in (k - 1, k + 1))
+            single = size == 1 or number_by
+            line |= {"top": k < EDGE_LINES and region in top_regions, "single": single, "small": size <= 2, "alone": single and (k == 0 or (k == 1 and number_by)), "long": widths[first + k] > 0.9 * longest}
+            if line["n"] is not None and line["k"] and not single:
+                line["n"] = None
         seq = sequence_of(page_id)
         for vote in votes(lines, seq[1] if seq else None):
-            self.put(VOTE, page_id, cols["book_id"][0], text=vote)
-        tails = [[k, ids[ends[k] - 1], texts[ends[k] - 1]] for k in range(n) if (k == n - 1 or place[starts[k + 1]][0] != place[starts[k]][0]) and self._open(forms[ends[k] - 1], ends[k] - 1 in taken)]
-        heads = [[k, ids[starts[k]], texts[starts[k]]] for k in range(n) if (k == 0 or place[starts[k - 1]][0] != place[starts[k]][0]) and forms[starts[k]] is not None and forms[starts[k]].lower and starts[k] not in taken][:4]
-        self.put(PAGE, page_id, cols["book_id"][0], text=json.dumps({"lines": lines, "tails": tails[-4:], "heads": heads}, ensure_ascii=False))
+            self.put(VOTE, page_id, book_id, text=vote)
+        tails = [[k, at.ids[ends[k] - 1], at.texts[ends[k] - 1]] for k in range(n) if (k == n - 1 or regions[k + 1] != regions[k]) and _open(at.forms[ends[k] - 1], ends[k] - 1 in taken)]
+        heads = [[k, at.ids[starts[k]], at.texts[starts[k]]] for k in range(n) if (k == 0 or regions[k - 1] != regions[k]) and at.forms[starts[k]].lower and starts[k] not in taken]
+        self.put(PAGE, page_id, book_id, text=json.dumps({"lines": lines, "tails": tails[-4:], "heads": heads[:4]}, ensure_ascii=False))
+
+
+class _Pages:
+    """The rows of some pages and where their lines start."""
+
+    def __init__(self, batch: pa.RecordBatch, ids: list, texts: list, forms: list, region: list, fresh: np.ndarray, starts: list, ends: list) -> None:
+        self.batch, self.ids, self.texts, self.forms, self.region = batch, ids, texts, forms, region
+        self.fresh, self.starts, self.ends = fresh, starts, ends
+
 
-    @staticmethod
-    def _open(form: Form | None, taken: bool) -> bool:
-        return form is not None and not taken and bool(form.stem) and (form.divided or form.listed < 0)
+STEP_TYPES = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+
+
+def _step_batch(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=["kind", "page_id", "book_id", "a", "b", "text"])
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a column differs from the row before; a null row differs from any."""
+    if not len(column):
+        return np.zeros(0, dtype=bool)
+    differs = pc.fill_null(pc.not_equal(column[1:], column[:-1]), True)
+    return np.concatenate([[True], np.asarray(differs)])
+
+
+def _open(form: Form, taken: bool) -> bool:
+    """Whether a word at the end of a page may go on overleaf."""
+    return not taken and bool(form.stem) and (form.divided or form.listed < 0)
 
 
 def joins(left: Form | None, right: Form | None, words: WordList) -> bool:
     """Whether two words that meet at a line or page end are the halves of one."""
-    if left is None or right is None or not left.stem or not right.core or not right.lower:
+    if not left.stem or not right.core or not right.lower:
         return False
     known = left.stem + right.core in words.ids
     if not left.divided:
@@ -210,41 +234,17 @@ def joined(left: str, right: str) -> str:
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch], listed) -> Iterator[pa.RecordBatch]:
-    reader = Reader(*shared_list(listed.value))
-    names = ["word_id", "region_ord", "line_ord", "text", "region_type", "book_id"]
-    held: dict[str, list] = {n: [] for n in names}
-    key = None
-
-    def flush() -> None:
-        if held["word_id"]:
-            reader.read(key[0], key[1], held)
-            for n in names:
-                held[n] = []
-
+    reader, rest = Reader(*shared_list(listed.value)), None
     for batch in batches:
-        cols = {n: batch.column(n).to_pylist() for n in names}
-        pages, blocks = batch.column("page_id").to_pylist(), batch.column("block").to_pylist()
-        ids = cols["word_id"]
-        cuts = [i for i in range(len(pages)) if i == 0 or pages[i] != pages[i - 1] or blocks[i] != blocks[i - 1] or pages[i] is None]
-        for start, end in zip(cuts, [*cuts[1:], len(pages)], strict=True):
-            if key != (pages[start], blocks[start]) or pages[start] is None:
-                flush()
-                key = (pages[start], blocks[start])
-            last = held["word_id"][-1] if held["word_id"] else None
-            keep = [i for i in range(start, end) if ids[i] is not None and ids[i] != (ids[i - 1] if i > start else last)]
-            if len(keep) == end - start:
-                for n in names:
-                    held[n] += cols[n][start:end]
-            else:
-                for n in names:
-                    held[n] += [cols[n][i] for i in keep]
-        if len(reader.out[0]) > 50_000:
-            yield reader.batch()
-    flush()
-    reader.count_grams()
-    for confusion, form in reader.evidence:
-        reader.put(CONFUSED, a=form, text=confusion)
-    yield reader.batch()
+        held = batch if rest is None or not rest.num_rows else pa.concat_batches([rest, batch])
+        cuts = np.flatnonzero(_changes(held.column("page_id")) | _changes(held.column("block")))
+        cut = int(cuts[-1]) if len(cuts) else 0
+        reader.read(held.slice(0, cut))
+        rest = held.slice(cut)
+        yield from reader.batches()
+    if rest is not None:
+        reader.read(rest)
+    yield from reader.batches(last=True)
 
 
 def read_pages(words: DataFrame, listed, block_lines: int = 4096) -> DataFrame:
@@ -257,11 +257,27 @@ def read_pages(words: DataFrame, listed, block_lines: int = 4096) -> DataFrame:
     return written(placed.mapInArrow(partial(_read_batches, listed=listed), STEP), "pages", "kind")
 
 
-def channel_table(steps: DataFrame, limit: int = MAX_CONFUSIONS) -> dict[str, float]:
-    """Log probability of every confusion that enough different words show, or that is known of print."""
+def _evidence_batches(batches: Iterator[pa.RecordBatch], listed) -> Iterator[pa.RecordBatch]:
+    words, _ = shared_list(listed.value)
+    for batch in batches:
+        shown = []
+        for form in batch.column(0).to_pylist():
+            found = words.one_edit(form) if form.isalpha() else []
+            if found and len({c[0] for c in found}) == 1:
+                shown += {c[1] for c in found}
+        yield pa.RecordBatch.from_arrays([pa.array(shown, pa.string())], names=["confusion"])
+
+
+def channel_table(steps: DataFrame, listed, limit: int = MAX_CONFUSIONS) -> dict[str, float]:
+    """Log probability of every confusion that enough different forms show, or that is known of print.
+
+    Evidence are the distinct unlisted forms of five letters or more that one single confusion turns
+    into one single listed word.
+    """
     known = KNOWN.split()
-    seen = steps.where(F.col("kind") == CONFUSED).groupBy("text").agg(F.countDistinct("a").alias("n")).where("n >= 2")
-    counts = {r["text"]: r["n"] for r in bounded_rows(seen, limit, "the confusions")}
+    runs = steps.where(F.col("kind") == RUN).select(F.explode(F.regexp_extract_all("text", F.lit(r'\[-?[0-9]+, "([^"\\\\]{5,})"\]'), F.lit(1))).alias("form"))
+    seen = runs.distinct().mapInArrow(partial(_evidence_batches, listed=listed), "confusion string").groupBy("confusion").agg(F.count("*").alias("n")).where("n >= 2")
+    counts = {r["confusion"]: r["n"] for r in bounded_rows(seen, limit, "the confusions")}
     total = sum(counts.values()) + len(known)
     counts = {c: n for c, n in counts.items() if n >= max(3, 0.0012 * total) or c in known}
     for c in known:
@@ -380,7 +396,7 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], listed) -> Iterator[pa.Re
 def misread_words(steps: DataFrame, listed) -> DataFrame:
     """``word_id, word``: misread words and the listed word each was."""
     spark = steps.sparkSession
-    channel = spark.sparkContext.broadcast(channel_table(steps))
+    channel = spark.sparkContext.broadcast(channel_table(steps, listed))
     runs = steps.where(F.col("kind") == RUN).select("a", "text")
     fn = partial(_candidate_batches, listed=listed, channel=channel)
     open_runs = written(runs.mapInArrow(fn, "run bigint, text string, pairs array<bigint>"), "runs")
