@@ -128,7 +128,7 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], n_keys: int, max_chars: in
 
 
 def gathered(words: DataFrame, keys: list[str], block_lines: int = 512, context_lines: int = 4) -> DataFrame:
-    """``keys..., block, items, n_chars``: the words of every item in order, by blocks of lines.
+    """``keys..., block, items``: the words of every item in order, by blocks of lines.
 
     A block also holds the words of the last ``context_lines`` lines before it, marked as carried.
     """
@@ -141,30 +141,44 @@ def gathered(words: DataFrame, keys: list[str], block_lines: int = 512, context_
     item = F.struct(F.col("line_ord"), F.col("word_ord"), F.col("word_id"), F.col("text"), (F.col("home") < F.col("block")).alias("carried"))
     once = placed.groupBy(*keys, "block").agg(F.array_sort(F.collect_set(item)).alias("items"))
     own = F.filter("items", lambda x: ~x["carried"])
-    chars = F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x["text"]) + 1)
-    return once.where(F.size(own) > 0).select(*keys, "block", "items", chars.alias("n_chars"))
+    return once.where(F.size(own) > 0).select(*keys, "block", "items")
 
 
-def split_items(words: DataFrame, keys: list[str], max_chars: int = 1000, overlap_chars: int = 100, block_lines: int = 512) -> DataFrame:
-    """``keys..., block, piece, n_pieces, first_word, last_word, overlap_words, text`` of all items.
+def long_keys(words: DataFrame, keys: list[str], max_chars: int) -> DataFrame:
+    """Keys of items that may be too long: their texts and the blanks between, repeats not yet taken out.
 
-    ``n_pieces`` counts the pieces of the whole item; an item within the limit is one piece.
+    The sums are taken before the shuffle, which carries one row per item and task.
     """
-    parts = gathered(words, keys, block_lines)
-    texts = F.array_join(F.transform("items", lambda x: x["text"]), " ")
-    one = (F.col("n_chars") - 1 <= max_chars) & (F.col("block") <= 0)
-    small = parts.where(one & ~F.exists("items", lambda x: x["carried"])).select(
-        *keys, "block", F.lit(0).alias("piece"), F.col("items")[0]["word_id"].alias("first_word"), F.element_at("items", -1)["word_id"].alias("last_word"), F.lit(0).alias("overlap_words"), texts.alias("text")
-    )
-    large = parts.where(~one | F.exists("items", lambda x: x["carried"])).select(*keys, "block", "items")
+    rows = require(words, *keys, "text").where("text is not null")
+    return rows.groupBy(*keys).agg((F.sum(F.length("text")) + F.count("*") - 1).alias("most")).where(F.col("most") > max_chars).select(*keys)
+
+
+def cut_items(words: DataFrame, keys: list[str], max_chars: int = 1000, overlap_chars: int = 100, block_lines: int = 512) -> DataFrame:
+    """The pieces of the items that ``long_keys`` names; their words are shuffled once, by key."""
+    on = [words[k].eqNullSafe(F.col(f"_long_{k}")) for k in keys]
+    long = long_keys(words, keys, max_chars).select(*[F.col(k).alias(f"_long_{k}") for k in keys])
+    parts = gathered(words.join(long, on, "left_semi"), keys, block_lines)
     kinds = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     fn = partial(_piece_batches, n_keys=len(keys), max_chars=max_chars, overlap_chars=overlap_chars)
-    cut = large.mapInArrow(fn, f"{schema}, block bigint, piece int, first_word bigint, last_word bigint, overlap_words int, text string")
-    return small.unionByName(cut)
+    return parts.select(*keys, "block", "items").mapInArrow(fn, f"{schema}, block bigint, piece int, first_word bigint, last_word bigint, overlap_words int, text string")
+
+
+def split_items(words: DataFrame, keys: list[str], max_chars: int = 1000, overlap_chars: int = 100, block_lines: int = 512) -> DataFrame:
+    """``keys..., block, piece, first_word, last_word, overlap_words, text`` of all items.
+
+    An item within the limit is one piece and never leaves the JVM.
+    """
+    on = [words[k].eqNullSafe(F.col(f"_long_{k}")) for k in keys]
+    long = long_keys(words, keys, max_chars).select(*[F.col(k).alias(f"_long_{k}") for k in keys])
+    rows = require(words.join(long, on, "left_anti"), *keys, "word_id", "line_ord", "word_ord", "text").where("text is not null")
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("line_ord", "word_ord", "word_id", "text"))).alias("items"))
+    texts = F.array_join(F.transform("items", lambda x: x["text"]), " ")
+    small = whole.select(*keys, F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("piece"), F.col("items")[0]["word_id"].alias("first_word"), F.element_at("items", -1)["word_id"].alias("last_word"), F.lit(0).alias("overlap_words"), texts.alias("text"))
+    return small.unionByName(cut_items(words, keys, max_chars, overlap_chars, block_lines))
 
 
 def oversized_items(words: DataFrame, keys: list[str], max_chars: int = 1000, overlap_chars: int = 100) -> DataFrame:
     """Keys of the items that had to be cut: those that came out in more than one piece."""
-    pieces = split_items(words, keys, max_chars, overlap_chars)
+    pieces = cut_items(words, keys, max_chars, overlap_chars)
     return pieces.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
