@@ -39,6 +39,17 @@ def boundary_penalty(word: str, line_end: bool) -> float:
     return LINE if line_end and bare[-1:] not in ("-", "⸗", "¬", "=", "‐") else WORD
 
 
+def allowed_ends(at: list[int], penalties: list[float], max_chars: int) -> list[int]:
+    """Where a piece may end: after sentences, clauses and lines; after any word where these are far apart."""
+    n, ends = len(penalties), [0]
+    for j in range(1, n + 1):
+        if j == n or penalties[j - 1] < WORD:
+            if at[j] - at[ends[-1]] > max_chars // 4:
+                ends += range(ends[-1] + 1, j)
+            ends.append(j)
+    return ends
+
+
 def cut_points(lengths: list[int], penalties: list[float], max_chars: int, overlap_chars: int) -> list[tuple[int, int]]:
     """Pieces as (first, end) of atom numbers, overlap included; every atom fits ``max_chars`` on its own.
 
@@ -51,42 +62,37 @@ def cut_points(lengths: list[int], penalties: list[float], max_chars: int, overl
     at = [0]
     for x in lengths:
         at.append(at[-1] + x + 1)
-
-    def size(i: int, j: int) -> int:
-        return at[j] - at[i] - 1
-
-    back = [0] * (n + 1)
-    for i in range(1, n):
-        b = max(back[i - 1], 0)
-        while b < i and size(b, i) > overlap_chars:
+    whole = at[n] - 1
+    if whole <= max_chars:
+        return [(0, n)]
+    ends = allowed_ends(at, penalties, max_chars)
+    back, b = [0] * len(ends), 0
+    for k, i in enumerate(ends[1:], 1):
+        while b < i and at[i] - 1 - at[b] > overlap_chars:
             b += 1
-        back[i] = b
-    aim = max_chars / -(-max(1, at[n] - 1) // max(1, max_chars - overlap_chars)) if at[n] - 1 > max_chars else at[n]
-    aim = min(max_chars, max(aim, max_chars / 2))
-    best = [0.0] + [float("inf")] * n
-    prev = [0] * (n + 1)
-    for j in range(1, n + 1):
-        cost = penalties[j - 1] if j < n else 0.0
-        for i in range(j - 1, -1, -1):
-            if size(i, j) > max_chars:
+        back[k] = b
+    aim = min(max_chars, max(whole / -(-whole // max(1, max_chars - overlap_chars)) + overlap_chars, max_chars / 2))
+    best, prev = [0.0] + [float("inf")] * (len(ends) - 1), [0] * len(ends)
+    for k in range(1, len(ends)):
+        j = ends[k]
+        cost = 1.0 + (penalties[j - 1] if j < n else 0.0)
+        for m in range(k - 1, -1, -1):
+            i = ends[m]
+            if at[j] - 1 - at[i] > max_chars:
                 break
-            if best[i] == float("inf"):
-                continue
-            start = back[i] if i else 0
-            while start < i and size(start, j) > max_chars:
-                start += 1
-            short = (aim - size(start, j)) / max_chars
-            total = best[i] + 1.0 + cost + (short * short * 4 if j < n or short > 0.75 else 0.0)
-            if total < best[j]:
-                best[j], prev[j] = total, i
-    pieces, j = [], n
-    while j:
-        i = prev[j]
-        start = back[i] if i else 0
-        while start < i and size(start, j) > max_chars:
+            size = min(max_chars, at[j] - 1 - at[back[m] if i else 0])
+            short = (aim - size) / max_chars
+            total = best[m] + cost + 4 * short * short
+            if total < best[k]:
+                best[k], prev[k] = total, m
+    pieces, k = [], len(ends) - 1
+    while k:
+        m, j = prev[k], ends[k]
+        start = back[m] if m else 0
+        while at[j] - 1 - at[start] > max_chars:
             start += 1
         pieces.append((start, j))
-        j = i
+        k = m
     return pieces[::-1]
 
 
@@ -111,20 +117,20 @@ def split_words(words: list[str], line_ends: list[bool], max_chars: int, overlap
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], n_keys: int, max_chars: int, overlap_chars: int) -> Iterator[pa.RecordBatch]:
-    names = None
     for batch in batches:
-        names = batch.schema.names
         out: list[list] = [[] for _ in range(7)]
-        for row, (block, items) in enumerate(zip(batch.column(n_keys).to_pylist(), batch.column(n_keys + 1).to_pylist(), strict=True)):
-            words = [x["text"] for x in items]
-            ends = [i + 1 == len(items) or items[i + 1]["line_ord"] != x["line_ord"] for i, x in enumerate(items)]
-            carried = sum(1 for x in items if x["carried"])
-            for k, (first, end, again, text) in enumerate(split_words(words, ends, max_chars, overlap_chars, carried)):
-                for column, value in zip(out, (row, block, k, items[first]["word_id"], items[end - 1]["word_id"], again, text), strict=True):
+        lists = batch.column(n_keys + 1)
+        bounds, items = lists.offsets.to_pylist(), lists.values
+        lines, ids, texts, carried = (items.field(i).to_pylist() for i in (0, 2, 3, 4))
+        for row, block in enumerate(batch.column(n_keys).to_pylist()):
+            low, high = bounds[row], bounds[row + 1]
+            ends = [i + 1 == high or lines[i + 1] != lines[i] for i in range(low, high)]
+            for k, (first, end, again, text) in enumerate(split_words(texts[low:high], ends, max_chars, overlap_chars, sum(carried[low:high]))):
+                for column, value in zip(out, (row, block, k, ids[low + first], ids[low + end - 1], again, text), strict=True):
                     column.append(value)
         rows = pa.array(out[0], pa.int64())
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(n_keys)], *[pa.array(v, t) for v, t in zip(out[1:], kinds, strict=True)]], names=[*names[:n_keys], "block", "piece", "first_word", "last_word", "overlap_words", "text"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(n_keys)], *[pa.array(v, t) for v, t in zip(out[1:], kinds, strict=True)]], names=[*batch.schema.names[:n_keys], "block", "piece", "first_word", "last_word", "overlap_words", "text"])
 
 
 def gathered(words: DataFrame, keys: list[str], block_lines: int = 512, context_lines: int = 4) -> DataFrame:
