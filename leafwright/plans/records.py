@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright.operators import compaction, nested
-from leafwright.storage import shared_dir, table
+from leafwright.storage import shared_dir, table, written
 
 REGIONS, LINES, WORDS = "text_regions", "text_regions.lines", "text_regions.lines.words"
 
@@ -53,7 +53,8 @@ def p5_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction.files_sharing_records(compaction.file_records(table(spark, sf_dir, "html_files")))
+    records = compaction.file_records(table(spark, sf_dir, "html_files")).select("digest", "file_id")
+    return compaction.files_sharing_records(written(records, "records"))
 
 
 def p6_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
