@@ -12,8 +12,8 @@ A digest in more than one record is then checked against the text: each such pla
 with ``min_chars / 2`` characters on both sides, equal surroundings form one class, and only
 classes, not records, are compared with one another. A group of copies is one class.
 
-Defined cases: null and short texts have no units; long runs of one repeated pattern keep the first
-and last unit of the run (enough for any span that touches it); spans shared only inside one record
+Defined cases: null and short texts have no units; of long runs of one repeated pattern one unit
+a window and the last are kept (enough for any span that touches the run); spans shared only inside one record
 do not count; further columns are ignored; an empty table gives empty results.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.storage import require
+from leafwright.storage import require, written
 
 BASE = 0x9E3779B97F4A7C15
 GRAM = 16
@@ -103,15 +103,19 @@ def anchors(codes: np.ndarray, unit: int, window: int, hasher: Hasher) -> tuple[
 
 
 def _thin(at: np.ndarray, digest: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal digests that follow one another within a window (a repeated pattern): first and last."""
+    """Of equal digests that follow one another within a window (a repeated pattern): one a window, and the last."""
     if len(at) < 3:
         return at, digest
     order = np.lexsort((at, digest))
     a, d = at[order], digest[order]
-    near = (d[1:] == d[:-1]) & (a[1:] - a[:-1] <= window)
-    inner = np.zeros(len(a), dtype=bool)
-    inner[1:-1] = near[:-1] & near[1:]
-    return a[~inner], d[~inner]
+    fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] - a[:-1] > window)])
+    chain = np.cumsum(fresh) - 1
+    step = (a - a[fresh][chain]) // window
+    kept = fresh.copy()
+    kept[1:] |= step[1:] != step[:-1]
+    kept[:-1] |= fresh[1:]
+    kept[-1] = True
+    return a[kept], d[kept]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -166,10 +170,10 @@ def _context_batches(batches: Iterator[pa.RecordBatch], unit: int, side: int) ->
 def places(docs: DataFrame, min_chars: int = 200) -> DataFrame:
     """Places whose unit also stands in another record, with the text around them.
 
-    The units are shuffled once by digest; counting and filtering use that same exchange.
+    The units are made once and written, since counting and filtering both read them.
     """
     unit = max(1, min_chars // 2)
-    found = units(docs, min_chars).repartition("digest")
+    found = written(units(docs, min_chars), "units")
     several = found.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("digest")
     hot = found.join(several, "digest", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "digest")).alias("places"))
     texts = require(docs, "doc_id", "text").join(hot, "doc_id").select("doc_id", "text", "places")
@@ -221,8 +225,6 @@ def matched_kinds(where: DataFrame, min_chars: int = 200) -> DataFrame:
 
 def shared_pairs(docs: DataFrame, min_chars: int = 200) -> DataFrame:
     """Pairs of records (the smaller id first) that share a verbatim span of ``min_chars`` or more."""
-    from leafwright.storage import written
-
     where = written(places(docs, min_chars), "places")
     kinds = matched_kinds(where, min_chars)
     members = where.select("digest", "kind", "doc_id").distinct()
@@ -238,8 +240,6 @@ def shared_spans(docs: DataFrame, min_chars: int = 200, earlier_only: bool = Fal
     With ``earlier_only`` just those that already stand in a record of smaller id: removing them keeps
     the earliest occurrence of everything.
     """
-    from leafwright.storage import written
-
     unit = max(1, min_chars // 2)
     where = written(places(docs, min_chars), "places")
     kinds = matched_kinds(where, min_chars)
