@@ -72,7 +72,7 @@ def _plain_batches(batches: Iterator[pa.RecordBatch], text_at: int, fold: bool)
         texts = pa.table({"t": batch.column(text_at).cast(pa.string())})  # noqa: F841 (read by the SQL)
         plain = plain_sql("t")
         query = f"SELECT {core_sql(plain)} AS a, {core_sql('t')} AS b FROM texts" if fold else f"SELECT {plain} AS a, t AS b FROM texts"
-        got = con.execute(query).to_arrow_table().combine_chunks()
+        got = con.sql(query).to_arrow_table().combine_chunks()
         columns = [_flat(got.column(i)) for i in (0, 1)]
         kept = [i for i in range(batch.num_columns) if i != text_at]
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *columns], names=[*[batch.schema.names[i] for i in kept], "plain", "raw"])
