@@ -7,10 +7,12 @@ Files that cannot be parsed keep a row with ``corrupt`` filled.
 
 from __future__ import annotations
 
+import os
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,16 +94,14 @@ def nest(words_: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(whole, "page_id", "left")
 
 
-def _write(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
-    import os
-
-    for pdf in batches:
-        for record in pdf.to_dict("records"):
+def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for record in batch.to_pylist():
             path = os.path.join(folder, f"{os.path.basename(record['page_id'])}.xml")
             with open(f"{path}.tmp", "w", encoding="utf-8") as out:
                 out.write(page_xml(record))
             os.replace(f"{path}.tmp", path)
-        yield pdf[["page_id"]]
+        yield batch.select(["page_id"])
 
 
 def write_pages(nested: DataFrame, folder: str) -> int:
@@ -109,7 +109,5 @@ def write_pages(nested: DataFrame, folder: str) -> int:
 
     A file appears whole or not at all, so a lost task can run again.
     """
-    import os
-
     os.makedirs(folder, exist_ok=True)
-    return nested.where("page_id is not null").mapInPandas(lambda it: _write(it, folder), "page_id string").count()
+    return nested.where("page_id is not null").mapInArrow(partial(_write, folder=folder), "page_id string").count()

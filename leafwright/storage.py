@@ -67,8 +67,12 @@ def hinted(df: DataFrame, limit: int) -> DataFrame:
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:
-    """Select exactly the named columns; further columns, whatever their names, are ignored."""
+    """Exactly the named columns. Further columns are ignored, even those whose names differ only in case."""
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*[df[n] if df.columns.count(n) == 1 else F.col(n) for n in names])
+    if len({c.lower() for c in df.columns}) == len(df.columns):
+        return df.select(*names)
+    places = [df.columns.index(n) for n in names]
+    numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return numbered.select(*[F.col(f"_{i}").alias(n) for i, n in zip(places, names, strict=True)])
