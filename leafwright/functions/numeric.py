@@ -81,3 +81,14 @@ def correlation_p(r: float | None, n: int) -> float | None:
         return 0.0
     t2 = r * r * (n - 2) / (1 - r * r)
     return regularised_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+
+
+# Colours that tell region types apart in a picture.
+REGION_COLOURS = {"paragraph": "blue", "page_number": "orange", "header": "purple", "heading": "green", "marginalia": "red", "footnote": "brown", "other": "gray"}
+
+
+def region_colour(region_type: Column) -> Column:
+    out = F.lit(REGION_COLOURS["other"])
+    for name, colour in REGION_COLOURS.items():
+        out = F.when(region_type == name, colour).otherwise(out)
+    return out

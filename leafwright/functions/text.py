@@ -142,3 +142,13 @@ def readable_size(size: Column) -> Column:
     for k in range(len(units)):
         out = F.when(size >= 1024**k, F.concat(F.format_string("%.1f", size / float(1024**k)), F.lit(f" {units[k]}"))).otherwise(out)
     return F.coalesce(out, F.when(size.isNotNull(), F.lit("0 B")))
+
+
+def fitted(values: Column, n: Column, fill: str = "unknown") -> Column:
+    """An array cut or filled up to a length."""
+    return F.slice(F.concat(values, F.array_repeat(F.lit(fill), F.greatest(n - F.size(values), F.lit(0)).cast("int"))), 1, F.greatest(n, F.lit(0)))
+
+
+def at_or_last(values: Column, i: Column) -> Column:
+    """The element at a place from 0, the last one beyond the end, null of an empty array."""
+    return F.when(F.size(values) > 0, F.element_at(values, F.least(i + 1, F.size(values)).cast("int")))

@@ -8,7 +8,7 @@ import pytest
 import verify
 
 SF = "/root/testdata/sf0.001"
-PLANS = [importlib.import_module(f"leafwright.plans.{n}") for n in ("records", "texts", "perplexity", "scores", "layouts")]
+PLANS = [importlib.import_module(f"leafwright.plans.{n}") for n in ("records", "texts", "perplexity", "paragraphs", "scores", "layouts")]
 SQL = {k: q for m in PLANS for k, q in m.oracle_sql().items()}
 QUERIES = {k: f for m in PLANS for k, f in m.queries().items()}
 
