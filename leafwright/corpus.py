@@ -13,8 +13,11 @@ ERROR_TYPES = ("none", "ocr", "spelling", "hallucination", "missing", "error", "
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words in flat form; a word delivered twice counts once."""
-    return table(spark, sf_dir, "words").drop("loaded_at").dropDuplicates(["word_id"])
+    """Words in flat form; a word delivered twice (on the same page) counts once.
+
+    Rows are brought together by page, which what follows groups, joins and orders by: no second shuffle.
+    """
+    return table(spark, sf_dir, "words").drop("loaded_at").repartition("page_id").dropDuplicates(["page_id", "word_id"])
 
 
 def lines(words_: DataFrame) -> DataFrame:

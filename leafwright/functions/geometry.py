@@ -7,6 +7,7 @@ whose common parts integrate exactly. Self-intersecting rings count by the even-
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -91,6 +92,58 @@ def intersection_area(a: np.ndarray, b: np.ndarray) -> float:
     return float(total)
 
 
+@lru_cache(maxsize=20_000)
+def convex(text: str) -> tuple[tuple[float, float], ...] | None:
+    """The corners of a convex polygon, turning left throughout; None for any other."""
+    pts = [(float(x), float(y)) for x, y, *_ in (p.split(",") for p in text.split() if "," in p)]
+    n = len(pts)
+    if n < 3:
+        return None
+    turns = [_turn(pts[i], pts[(i + 1) % n], pts[(i + 2) % n]) for i in range(n)]
+    if all(t <= 0 for t in turns):
+        pts.reverse()
+    elif not all(t >= 0 for t in turns):
+        return None
+    # A star turns one way too, but more than once around: its edges' directions wrap.
+    wraps = sum(1 for i in range(n) if _angle(pts, i + 1) < _angle(pts, i) - 1e-12)
+    return tuple(pts) if wraps == 1 else None
+
+
+def _turn(p: tuple, q: tuple, r: tuple) -> float:
+    return (q[0] - p[0]) * (r[1] - q[1]) - (q[1] - p[1]) * (r[0] - q[0])
+
+
+def _angle(pts: list, i: int) -> float:
+    p, q = pts[i % len(pts)], pts[(i + 1) % len(pts)]
+    return math.atan2(q[1] - p[1], q[0] - p[0])
+
+
+def clipped_area(a: tuple, b: tuple) -> float:
+    """Common area of two convex polygons: one is cut by every side of the other."""
+    out = list(a)
+    for i in range(len(b)):
+        p, q = b[i], b[(i + 1) % len(b)]
+        sides = [_turn(p, q, r) for r in out]
+        cut = []
+        for k, r in enumerate(out):
+            s, here, there = out[(k + 1) % len(out)], sides[k], sides[(k + 1) % len(out)]
+            if here >= 0:
+                cut.append(r)
+            if here * there < 0:
+                t = here / (here - there)
+                cut.append((r[0] + t * (s[0] - r[0]), r[1] + t * (s[1] - r[1])))
+        out = cut
+        if len(out) < 3:
+            return 0.0
+    return abs(sum(out[k][0] * out[(k + 1) % len(out)][1] - out[(k + 1) % len(out)][0] * out[k][1] for k in range(len(out)))) / 2
+
+
+def common_area(a: str, b: str) -> float:
+    """Common area of two coordinate texts: by clipping where both are convex, else by slabs."""
+    p, q = convex(a), convex(b)
+    return clipped_area(p, q) if p and q else intersection_area(ring(a), ring(b))
+
+
 def polygon_area(a: np.ndarray) -> float:
     return intersection_area(a, a)
 
@@ -98,12 +151,12 @@ def polygon_area(a: np.ndarray) -> float:
 @F.pandas_udf(T.DoubleType())
 def shared_area(a: pd.Series, b: pd.Series) -> pd.Series:
     """Area that two coordinate texts have in common; null or short ones have none."""
-    return pd.Series([intersection_area(ring(x), ring(y)) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    return pd.Series([common_area(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(T.DoubleType())
 def even_odd_area(a: pd.Series) -> pd.Series:
-    return pd.Series([polygon_area(ring(x)) if x else 0.0 for x in a])
+    return pd.Series([common_area(x, x) if x else 0.0 for x in a])
 
 
 def iou(shared: Column, a: Column, b: Column) -> Column:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.functions.similarity import ratio
 
+BINS = 61
 ERROR_REGIONS = ("marginalia", "footnote", "page-number", "header", "decoration", "other")
 
 
@@ -35,15 +37,12 @@ def label_page(lines: list[dict], truth: list[dict]) -> list[list[str]]:
     paragraphs = [(j, t) for j, t in enumerate(truth) if t["kind"] == "paragraph"]
     home: dict[int, object] = {}
     used: set[int] = set()
+    known = [(j, " ".join(t["words"])) for j, t in paragraphs if t["words"]]
+    shapes = np.array([_shape(t) for _, t in known]).reshape(len(known), BINS)
     for i, x in enumerate(lines):
-        if i in matched or not x["words"]:
+        if i in matched or not x["words"] or not known:
             continue
-        text = " ".join(x["words"])
-        best, at = 0.0, None
-        for j, t in paragraphs:
-            r = ratio(text, " ".join(t["words"])) if t["words"] else 0.0
-            if r > best:
-                best, at = r, j
+        best, at = _most_similar(" ".join(x["words"]), known, shapes)
         if at is not None:
             home[i] = truth[at]["para"]
             if best == 1.0:
@@ -71,6 +70,30 @@ def label_page(lines: list[dict], truth: list[dict]) -> list[list[str]]:
     return labels
 
 
+def _shape(text: str) -> np.ndarray:
+    """How often characters occur, by bins of their codes."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % BINS, minlength=BINS)
+
+
+def _most_similar(text: str, known: list[tuple[int, str]], shapes: np.ndarray) -> tuple[float, int | None]:
+    """(ratio, number) of the most similar text, the first of equals; none at ratio 0.
+
+    A ratio is at most what the common characters allow, so texts are compared in the order of that
+    bound until it falls below the best ratio found.
+    """
+    own = _shape(text)
+    bound = 2.0 * np.minimum(shapes, own).sum(axis=1) / (shapes.sum(axis=1) + own.sum())
+    best, at = 0.0, None
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if bound[k] < best:
+            break
+        j, other = known[k]
+        r = 1.0 if other == text else ratio(text, other)
+        if r > best or (r == best and at is not None and j < at):
+            best, at = r, j
+    return best, at
+
+
 def _mark_phrases(words: list[str], phrases: list[list[str]], labels: list[str]) -> None:
     for p in phrases:
         for i in range(len(words) - len(p) + 1):

@@ -69,12 +69,11 @@ def overlay_verdicts(lines: DataFrame, regions: DataFrame, truth: DataFrame, wit
 
 def match_penalty(truth: list[tuple[str, str]], predicted: list[str]) -> float:
     """Penalties of a page: missing or badly covered paragraphs, other regions without their own match, spare predictions."""
-    rings, guesses = [(t, geo.ring(c)) for t, c in truth], [geo.ring(c) for c in predicted]
-    areas = [geo.polygon_area(g) for g in guesses]
-    used, score = [False] * len(guesses), 0.0
-    for kind, own in rings:
-        size = geo.polygon_area(own)
-        shared = [geo.intersection_area(own, g) for g in guesses]
+    areas = [geo.common_area(g, g) for g in predicted]
+    used, score = [False] * len(predicted), 0.0
+    for kind, own in truth:
+        size = geo.common_area(own, own)
+        shared = [geo.common_area(own, g) for g in predicted]
         if kind == "paragraph":
             cover = [s / size if size else 0.0 for s in shared]
             best = max(range(len(cover)), key=lambda i: (cover[i], -i), default=-1)
@@ -84,7 +83,7 @@ def match_penalty(truth: list[tuple[str, str]], predicted: list[str]) -> float:
             score += 1.0 if cover[best] < 0.33 else 0.5 if cover[best] < 0.5 else 0.0
         else:
             unions = [s / (size + a - s) if size + a - s > 0 else 0.0 for s, a in zip(shared, areas, strict=True)]
-            free = [i for i in range(len(guesses)) if not used[i] and unions[i] > 0]
+            free = [i for i in range(len(predicted)) if not used[i] and unions[i] > 0]
             best = max(free, key=lambda i: (unions[i], -i), default=-1)
             if best < 0:
                 score += 1.0

@@ -26,7 +26,7 @@ def latest_records(df: DataFrame, key: str, loaded: str = "loaded_at") -> DataFr
     rest = [c for c in df.columns if c not in (key, loaded)]
     payload = F.struct(*[F.col(c) for c in rest])
     with_key = df.where(F.col(key).isNotNull())
-    best = with_key.groupBy(key).agg(F.max_by(payload, F.struct(F.col(loaded), F.xxhash64(F.to_json(payload)))).alias("_row"))
+    best = with_key.groupBy(key).agg(F.max_by(payload, F.struct(F.col(loaded), F.xxhash64(*[c for c in rest if not _has_map(df.schema[c].dataType)]))).alias("_row"))
     kept = best.select(F.col(key), *[F.col(f"_row.{c}").alias(c) for c in rest])
     no_key = df.where(F.col(key).isNull()).drop(loaded)
     no_key = no_key.select(key, *rest).dropDuplicates() if not _has_map(no_key.schema) else no_key.select(key, *rest)

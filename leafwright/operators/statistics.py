@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.functions.numeric import correlation_p
+from leafwright.storage import written
 
 
 def page_error_scores(words: DataFrame, pages: DataFrame, is_error: Column, overwrite: str | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def average_rank(df: DataFrame, value: str, alias: str) -> DataFrame:
 
 def paired_statistics(a: DataFrame, b: DataFrame, key: str = "page_id", value: str = "score") -> DataFrame:
     """RMSE, Pearson and Spearman over common keys, means over pairs and over whole sides."""
-    pairs = paired(a, b, key, value)
+    pairs = written(paired(a, b, key, value), "pairs")  # read by both rankings
     ranked = average_rank(average_rank(pairs, "a", "ra"), "b", "rb")
     both = ranked.agg(F.count("*").alias("n"), F.sqrt(F.avg((F.col("a") - F.col("b")) ** 2)).alias("rmse"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
     whole = a.agg(F.avg(value).alias("whole_mean_a")).crossJoin(b.agg(F.avg(value).alias("whole_mean_b")))

@@ -17,12 +17,13 @@ from leafwright.functions import similarity
 from leafwright.functions import text as tx
 from leafwright.operators import features, labels, layout, nested, statistics
 from leafwright.plans.perplexity import r6
-from leafwright.storage import shared_dir, table
+from leafwright.storage import shared_dir, table, written
 from leafwright.streaming import incremental
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return nested.shred(nested.latest_records(table(spark, sf_dir, "page_records"), "page_id"), "page_id", "text_regions")
+    latest = nested.latest_records(table(spark, sf_dir, "page_records"), "page_id")
+    return nested.shred(written(latest, "records"), "page_id", "text_regions")  # several tables are read from it
 
 
 def _regions(t: dict[str, DataFrame]) -> DataFrame:

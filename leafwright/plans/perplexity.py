@@ -9,7 +9,7 @@ from leafwright import corpus
 from leafwright.functions import numeric as nm
 from leafwright.functions import text as tx
 from leafwright.operators import chunks, language, statistics
-from leafwright.storage import table
+from leafwright.storage import table, written
 
 SIZE, OVERLAP = 20, 10
 
@@ -57,6 +57,7 @@ def smoothed_word_ppl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows to word perplexities to errors above the quartile bound to page scores to book summaries."""
     smooth = chunks.smoothed(_chunk_ppl(spark, sf_dir), ["page_id", "book_id"]).withColumn("ppl", F.round("ppl", 6))
+    smooth = written(smooth, "smooth")  # the bound and the judgement both read it
     bound = chunks.quartile_bound(smooth, "ppl").select(F.round("bound", 6).alias("bound"))
     judged = smooth.crossJoin(F.broadcast(bound))
     scores = judged.groupBy("book_id", "page_id").agg((F.sum((F.col("ppl") > F.col("bound")).cast("double")) / F.count("*")).alias("score"))

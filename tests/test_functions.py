@@ -73,6 +73,21 @@ SQUARE, L_SHAPE = "0,0 10,0 10,10 0,10", "0,0 10,0 10,4 4,4 4,10 0,10"
 def test_intersections(a, b, area):
     assert geo.intersection_area(geo.ring(a), geo.ring(b)) == pytest.approx(area)
     assert geo.intersection_area(geo.ring(b), geo.ring(a)) == pytest.approx(area)
+    assert geo.common_area(a, b) == geo.common_area(b, a) == pytest.approx(area)
+
+
+corner = st.tuples(st.integers(0, 30), st.integers(0, 30))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(corner, min_size=3, max_size=5), st.lists(corner, min_size=3, max_size=5))
+def test_clipping_equals_slabs(a, b):
+    x, y = (" ".join(f"{p},{q}" for p, q in c) for c in (a, b))
+    assert geo.common_area(x, y) == pytest.approx(geo.intersection_area(geo.ring(x), geo.ring(y)), abs=1e-6)
+
+
+def test_a_star_is_not_convex():
+    assert geo.convex("0,3 6,3 1,7 3,0 5,7") is None and geo.convex(L_SHAPE) is None and geo.convex(SQUARE)
 
 
 box = st.tuples(*[st.integers(0, 40)] * 4).filter(lambda b: b[0] < b[2] and b[1] < b[3])

@@ -1,5 +1,8 @@
 """Windows, islands, ranks, books, labels, alignment and layout scores on small fixtures."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +68,20 @@ def test_labels():
     assert labels.label_page([], truth) == [] and labels.label_page(lines(("a",)), []) == [["error"]]
 
 
+def test_most_similar_equals_trying_all():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdeß ", k=rng.randint(1, 25))) for _ in range(60)]
+    known = list(enumerate(texts))
+    shapes = np.array([labels._shape(t) for t in texts])
+    for _ in range(60):
+        t = rng.choice([rng.choice(texts), "".join(rng.choices("abcdeß xyz", k=12))])
+        best, at = 0.0, None
+        for j, o in known:
+            if labels.ratio(t, o) > best:
+                best, at = labels.ratio(t, o), j
+        assert labels._most_similar(t, known, shapes) == (best, at)
+
+
 def test_alignment_takes_divided_words_together():
     assert labels.align(["Wein⸗", "berg", "ist"], ["weinberg", "ist"]) == [0, 0, 1]
     assert labels.align(["Wein⸗", "berg"], ["ganz", "anders"]) == [0, 1]
