@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.functions import geometry as geo
+from leafwright.functions import text as tx
 from leafwright.functions.similarity import token_ratio
 
 PARAGRAPH_LIKE = ("paragraph", "header", "heading", "footnote")
@@ -46,20 +47,26 @@ def best_cover(lines: DataFrame, regions: DataFrame, key: list[str]) -> DataFram
 def overlay_verdicts(lines: DataFrame, regions: DataFrame, truth: DataFrame, with_text: bool = False) -> DataFrame:
     """Verdict of every predicted line against the ground-truth regions: ``error_type, score``.
 
-    ``lines``: page_id, ord, region_ord, coords, bbox, polygon_area (and ``tokens``); ``regions``: the
+    ``lines``: page_id, ord, region_ord, coords, bbox, polygon_area (and ``text``); ``regions``: the
     predicted ones by region_ord with region_coords, region_area; ``truth``: page_id, ord, type, coords,
-    bbox, polygon_area (and ``tokens``). In order: a line without area is an error; covered below 0.85
+    bbox, polygon_area (and ``tokens``, ``first_line``: the coords of its first line). In order: a line without area is an error; covered below 0.85
     it is a hallucination; in a paragraph-like region it is right, with a small penalty (with texts,
-    a merge if its tokens are too unlike); else the predicted region must overlap the true one by 0.30.
+    a merge if its tokens are too unlike; the last line of its region that came as far as the overlap
+    of regions is put before it, unless the true region is its own first line); else the predicted region must overlap the true one by 0.30.
     """
-    plain = lines.select("page_id", "ord", "region_ord", "coords", "bbox", "polygon_area", *(["tokens"] if with_text else []))
-    cover = best_cover(plain.drop("tokens"), truth, ["ord", "region_ord"])
+    plain = lines.select("page_id", "ord", "region_ord", "coords", "bbox", "polygon_area", *(["text"] if with_text else []))
+    cover = best_cover(plain.drop("text"), truth, ["ord", "region_ord"])
     rows = plain.join(cover, ["page_id", "ord", "region_ord"], "left").join(regions, ["page_id", "region_ord"], "left")
     shared = geo.shared_area(F.col("region_coords"), F.col("best.coords"))
     region_iou = geo.iou(shared, F.coalesce("region_area", F.lit(0.0)), F.coalesce(F.col("best.polygon_area"), F.lit(0.0)))
     covered = F.coalesce("coverage", F.lit(0.0))
     steps = F.when(F.col("polygon_area") <= 0, "error:1").when(covered < COVERAGE, "hallucination:1")
     if with_text:
+        before = Window.partitionBy("page_id", "region_ord").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+        overlapped = (F.col("polygon_area") > 0) & (covered >= COVERAGE) & ~F.col("best.type").isin(*PARAGRAPH_LIKE) & (F.coalesce("region_area", F.lit(0.0)) > 0)
+        text = F.coalesce("text", F.lit(""))
+        previous = F.when(F.col("best.first_line") == F.col("best.coords"), "").otherwise(F.coalesce(F.last(F.when(overlapped, text), ignorenulls=True).over(before), F.lit("")))
+        rows = rows.withColumn("tokens", tx.tokens(tx.normal_hybrid(F.concat(previous, text))))
         steps = steps.when(F.col("best.type").isin(*PARAGRAPH_LIKE) & (token_ratio(F.col("tokens"), F.col("best.tokens")) < SIMILARITY), "merge:1")
     steps = steps.when(F.col("best.type").isin(*PARAGRAPH_LIKE), "none:p").when(F.coalesce("region_area", F.lit(0.0)) <= 0, "error:1").when(region_iou >= MIN_IOU, "none:0").otherwise("error:1")
     judged = rows.select("page_id", "region_ord", "ord", covered.alias("coverage"), steps.alias("v"))

@@ -125,3 +125,12 @@ def test_features_of_odd_pages(spark):
     a, b = got["a"], got["b"]
     assert (a["n_regions"], a["n_lines"], a["n_words"], a["max_chars_per_line"], a["numeric_ratio"], a["n_empty_regions"], a["n_empty_lines"]) == (2, 3, 2, 5, 0.5, 1, 2)
     assert b["n_words"] == 0 and b["mean_word_len"] == 0 and b["empty_line_share"] == 1
+
+
+def test_hybrid_puts_the_last_overlapping_line_before(spark):
+    ln = spark.createDataFrame([("p", 0, 0, rect(0, 200, 100, 210), "kopf "), ("p", 1, 0, rect(0, 0, 100, 10), "der alte turm"), ("p", 2, 0, rect(0, 20, 100, 30), "zzzz qqqqq wwww yyyyy")], "page_id string, ord int, region_ord int, coords string, text string")
+    gt = spark.createDataFrame([("p", 0, "paragraph", rect(0, 0, 100, 100), "kopf der alte turm steht".split(), "x"), ("p", 1, "other", rect(0, 200, 100, 230), ["kopf"], "x")], "page_id string, ord int, type string, coords string, tokens array<string>, first_line string")
+    pred = spark.createDataFrame([("p", 0, rect(0, 0, 100, 230))], "page_id string, region_ord int, coords string")
+    p = layout.measured(pred, "coords").select("page_id", "region_ord", F.col("coords").alias("region_coords"), F.col("polygon_area").alias("region_area"))
+    got = layout.overlay_verdicts(layout.measured(ln, "coords"), p, layout.measured(gt, "coords"), with_text=True).collect()
+    assert {r["ord"]: r["error_type"] for r in got} == {0: "error", 1: "none", 2: "merge"}
