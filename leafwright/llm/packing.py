@@ -8,7 +8,7 @@ each epoch its leftovers (the items of its poorly filled bins) are handed to the
 under other hash seeds, while well-filled bins are final. The last epoch closes every bin.
 
 Only an item larger than the capacity is divided: into full containers, its remainder is packed as
-an item of its own. Items of size 0 go with any bin at no cost; a null size counts as 0. Repeated ids
+an item of its own. Items of size 0 go with any bin at no cost; a null size counts as 0, a null id as -1. Repeated ids
 are separate items. An empty table gives no bins. Rows of equal size are interchangeable; ties are
 broken by id, and every random choice is seeded, so a packing is reproducible.
 """
@@ -122,7 +122,7 @@ def pack(sizes: DataFrame, capacity: int = 4096, island_items: int = 1024, epoch
     whole items have part 0 and all other parts do not exist. Pieces that fill a container on their
     own have epoch -1.
     """
-    whole = sizes.select(F.col("item").cast("bigint").alias("item"), F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size"))
+    whole = sizes.select(F.coalesce(F.col("item").cast("bigint"), F.lit(-1)).alias("item"), F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size"))
     cap = F.lit(capacity).cast("bigint")
     pieces = whole.where(F.col("size") > cap).select("item", "size", F.posexplode(F.sequence(F.lit(0), F.ceil(F.col("size") / cap).cast("int") - 1)).alias("p", "_"))
     pieces = pieces.select("item", F.col("p").cast("bigint").alias("part"), F.least(cap, F.col("size") - F.col("p") * cap).alias("size"))

@@ -11,7 +11,7 @@
 4. Headers and page numbers are told by what the pages of a book have in common, and a word divided
    at a page end is joined with the first word of the next page's text.
 
-Defined cases: null texts are skipped; a word delivered twice counts once; words without page or
+Defined cases: null texts and words without an id are skipped; a word delivered twice counts once; words without page or
 ordinals are read alone; pages without number have no next page; one huge page is read in blocks of
 lines; a page of only furniture gives only furniture; further columns are ignored; an empty table
 gives nothing.

@@ -12,7 +12,7 @@ A digest in more than one record is then checked against the text: each such pla
 with ``min_chars / 2`` characters on both sides, equal surroundings form one class, and only
 classes, not records, are compared with one another. A group of copies is one class.
 
-Defined cases: null and short texts have no units; of long runs of one repeated pattern one unit
+Defined cases: null and short texts, and texts without an id, have no units; of long runs of one repeated pattern one unit
 a window and the last are kept (enough for any span that touches the run); spans shared only inside one record
 do not count; further columns are ignored; an empty table gives empty results.
 """

@@ -131,15 +131,16 @@ def test_blocks_of_a_huge_item_keep_all_words(spark):
 def test_packing_keeps_every_item_and_the_capacity(spark):
     rng = random.Random(2)
     sizes = [rng.choice([rng.randint(1, 900), rng.randint(1, 100), 4096]) for _ in range(3000)] + [0, 9000, 8192, None]
-    df = spark.createDataFrame([(i, s, 1) for i, s in enumerate(sizes)], "item bigint, size bigint, bin_no int")
+    df = spark.createDataFrame([(i, s, 1) for i, s in enumerate(sizes)] + [(None, 5, 1)], "item bigint, size bigint, bin_no int")
     placed = packing.pack(df, 4096, island_items=256).collect()
+    assert [r["size"] for r in placed if r["item"] == -1] == [5]
     loads, seen = {}, {}
     for r in placed:
         key = (r["epoch"], r["island"], r["bin_no"])
         loads[key] = loads.get(key, 0) + r["size"]
         seen.setdefault(r["item"], []).append((r["part"], r["size"]))
-    assert max(loads.values()) <= 4096 and sum(loads.values()) == sum(s or 0 for s in sizes) and set(seen) == set(range(len(sizes)))
-    assert all(sum(x for _, x in v) == (sizes[i] or 0) and len(v) == max(1, -(-(sizes[i] or 0) // 4096)) for i, v in seen.items())
+    assert max(loads.values()) <= 4096 and sum(loads.values()) == sum(s or 0 for s in sizes) + 5 and set(seen) == {-1, *range(len(sizes))}
+    assert all(sum(x for _, x in v) == (sizes[i] or 0) and len(v) == max(1, -(-(sizes[i] or 0) // 4096)) for i, v in seen.items() if i >= 0)
     assert sum(loads.values()) / (4096 * len(loads)) > 0.98
     assert {r["item"] for r in packing.divided_items(spark.createDataFrame(placed)).collect()} == {3001, 3002}
 
