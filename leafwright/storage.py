@@ -39,9 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/leafwright-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; no result read from it may be used after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Run ``df`` once, keep it as a Parquet table in the shared folder and return the read table."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(partition_by)
