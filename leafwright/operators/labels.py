@@ -195,6 +195,8 @@ def judge_predictions(predicted: list[tuple[str, str]], regions: list[tuple[str,
             for i, w in enumerate(words):
                 places[w].append((words, i))
     actual = sum(len(w) for kind, w in regions if kind in ERROR_REGIONS)
+    known = list(places)
+    shapes = np.array([_shape(w) for w in known]).reshape(len(known), BINS)
     true = false = 0
     for word, context in predicted:
         if not word:
@@ -203,14 +205,15 @@ def judge_predictions(predicted: list[tuple[str, str]], regions: list[tuple[str,
         best = max(range(len(around)), key=lambda i: (like(word, around[i]), -i), default=None)
         before = around[best - 1] if best else None
         after = around[best + 1] if best is not None and best + 1 < len(around) else None
-        near = sorted(((like(word, w), w) for w in places), key=lambda x: (-x[0], x[1]))[:5]
-        wrong = False
-        for score, w in near:
-            if score < threshold:
-                break
-            for words, i in places[w]:
-                side = (before and i and like(before, words[i - 1]) > threshold) or (after and i + 1 < len(words) and like(after, words[i + 1]) > threshold)
-                wrong = wrong or bool(side)
+        # What the common characters allow is at least the ratio, so words below the threshold are not compared.
+        own = _shape(word)
+        bound = 2.0 * np.minimum(shapes, own).sum(axis=1) / np.maximum(1, shapes.sum(axis=1) + own.sum())
+        close = [known[k] for k in np.flatnonzero(100 * bound >= threshold - 0.5)]
+        near = sorted(((like(word, w), w) for w in close), key=lambda x: (-x[0], x[1]))[:5]
+        wrong = any(
+            (before and i and like(before, words[i - 1]) > threshold) or (after and i + 1 < len(words) and like(after, words[i + 1]) > threshold)
+            for score, w in near if score >= threshold for words, i in places[w]
+        )
         true, false = true + (not wrong), false + wrong
     return true, false, actual
 
