@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LINE_MARK, NBSP = "⸗", " "
+LINE_MARK, NBSP = "⸗", "\u00a0"
 WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"[\s\p{Z}]+"
 
@@ -17,7 +17,7 @@ SPACE = r"[\s\p{Z}]+"
 ABBREVIATIONS = "z.B u.a u.U d.h ggf bzw etc sog ca Nr Dr Prof bspw vgl Fig Abb Hr Fr evtl bsp i.d.R Jan Feb Mrz Apr Mai Jun Jul Aug Sep Okt Nov Dez Jh St Abs S Tab Bd Hrsg Kap Lit s Anm dgl u.Ä usw z.T z.Z zzgl".split()
 # Replacements of single historical characters.
 CHARACTERS = {"ʒ": "z", "Ʒ": "Z", "ƕ": "hv", "ß": "ss", "ẞ": "SS", "ſ": "s", "ﬂ": "fl", "ﬁ": "fi", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "⸗": "-", "ꝰ": "-", "‟": "-"}
-_HIDDEN_DOT, _ELLIPSIS, _CUT = "", "", ""
+_HIDDEN_DOT, _ELLIPSIS, _CUT = "\ue001", "\ue000", "\ue002"
 
 
 def squeeze(text: Column) -> Column:
