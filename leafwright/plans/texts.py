@@ -9,7 +9,7 @@ from leafwright import corpus
 from leafwright.functions import similarity
 from leafwright.functions import text as tx
 from leafwright.operators import chunks
-from leafwright.storage import table
+from leafwright.storage import table, written
 
 SPACE_SQL = r"'[\s\p{Z}]+'"
 D = corpus.DOC_LINES_SQL
@@ -68,9 +68,11 @@ def levenshtein_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = words.where(F.endswith("text", F.lit("⸗"))).select("page_id", "region_ord", (F.col("line_ord") + 1).alias("line_ord"), F.col("word_id").alias("left_id"), tx.without_line_mark(F.col("text")).alias("l"))
     starts = words.where("word_ord = 0").select("page_id", "region_ord", "line_ord", F.col("word_id").alias("right_id"), F.replace("text", F.lit("⸗"), F.lit("")).alias("r"))
     both = ends.join(starts, ["page_id", "region_ord", "line_ord"]).withColumn("combined", tx.normal_chunk(F.concat("l", "r")))
-    listed = table(spark, sf_dir, "lexicon").select(F.lower("word").alias("listed"), F.substring(F.lower("word"), 1, 4).alias("k"))
-    near = both.withColumn("k", F.substring("combined", 1, 4)).join(listed, "k").where(similarity.within_edits(F.col("combined"), F.col("listed")))
-    return near.groupBy("left_id", "right_id").agg(F.count("*").alias("n_near"), F.min(F.levenshtein("combined", "listed")).alias("edits"))
+    both = written(both.select("left_id", "right_id", F.col("combined").alias("form")), "divided")
+    listed = table(spark, sf_dir, "lexicon").groupBy(F.lower("word").alias("listed")).agg(F.count("*").alias("n"))
+    near = similarity.near_pairs(both.select("form").distinct(), listed.select("listed")).join(listed, "listed")
+    near = near.groupBy("form").agg(F.sum("n").alias("n"), F.min("edits").alias("least"))
+    return both.join(near, "form").groupBy("left_id", "right_id").agg(F.sum("n").alias("n_near"), F.min("least").alias("edits"))
 
 
 def phrase_places(spark: SparkSession, sf_dir: str) -> DataFrame:

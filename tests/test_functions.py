@@ -60,6 +60,20 @@ def test_similarity(spark):
     assert [r[0] for r in phrases.select(sim.phrase_places(F.col("w"), F.col("p"))).collect()] == [[0, 2], [], []]
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text("abä", max_size=17), max_size=12, unique=True), st.lists(st.text("abä", max_size=17), max_size=12, unique=True))
+def test_near_pairs_are_those_of_brute_force(spark, forms, words):
+    a, b = spark.createDataFrame([(x,) for x in forms], "form string"), spark.createDataFrame([(x,) for x in words], "listed string")
+    every = a.crossJoin(b).where(sim.within_edits(F.col("form"), F.col("listed"))).select("form", "listed", F.levenshtein("form", "listed"))
+    assert sorted(map(tuple, sim.near_pairs(a, b).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_near_pairs_differ_in_any_letter(spark):
+    forms = spark.createDataFrame([("nühlenwerk",), ("xa",), ("",)], "form string")
+    words = spark.createDataFrame([("mühlenwerk",), ("ühlenwerke",), ("a",), ("turm",)], "listed string")
+    assert sorted(map(tuple, sim.near_pairs(forms, words).collect())) == [("", "a", 1), ("nühlenwerk", "mühlenwerk", 1), ("nühlenwerk", "ühlenwerke", 2), ("xa", "a", 1)]
+
+
 def test_points_and_shoelace(spark):
     pts = geo.points(F.col("t"))
     got = spark.createDataFrame([("0,0 4,0 4,3 0,3",), ("1,1 bad 2,2",), ("",), (None,)], "t string").select(F.size(pts), geo.area(pts)).collect()

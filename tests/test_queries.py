@@ -29,3 +29,12 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"rf_page_scores"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_near_words_differ_in_their_first_letters_too(spark, con):
+    """The SQL of the query meets words by their first four letters; here all pairs are compared."""
+    cut = "substr(c, 1, 4) = substr(lower(word), 1, 4)"
+    assert cut in SQL["levenshtein_join"]
+    got, want, _ = verify.both(spark, con, QUERIES["levenshtein_join"], SQL["levenshtein_join"].replace(cut, "true"), SF)
+    assert got == want[1]
