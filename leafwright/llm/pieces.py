@@ -3,8 +3,8 @@
 Dynamic programming over the boundary positions of an item chooses the cuts with the least sum of cut
 penalties (end of a sentence, of a clause, of a line, between words, inside a word) and squared size
 imbalance, every piece at most ``max_chars`` long including the overlap it repeats from the piece
-before. The overlap is the longest run of whole words within ``overlap_chars``. A word longer than the
-limit is cut inside, at the limit.
+before. The overlap is the longest run of whole words within ``overlap_chars``; it is shorter only where a
+word is too long to stand in a piece with it. A word longer than the limit is cut inside, at the limit.
 
 Items are grouped by key in the JVM; only items longer than the limit meet Python. An item of more
 than ``block_lines`` lines is dealt with in blocks of lines (each with the last words of the block
@@ -16,9 +16,11 @@ sort first; an item without text has no piece; an empty table gives none; length
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import partial
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from leafwright.storage import require
 
 SENTENCE, CLAUSE, LINE, WORD, INSIDE = 0.0, 0.25, 0.5, 1.0, 4.0
+#: More than any sum of other costs.
+SHORTENED = 1e6
 CLOSERS = "\"')]»«“”’"
 
 
@@ -39,60 +43,46 @@ def boundary_penalty(word: str, line_end: bool) -> float:
     return LINE if line_end and bare[-1:] not in ("-", "⸗", "¬", "=", "‐") else WORD
 
 
-def allowed_ends(at: list[int], penalties: list[float], max_chars: int) -> list[int]:
-    """Where a piece may end: after sentences, clauses and lines; after any word where these are far apart."""
-    n, ends = len(penalties), [0]
-    for j in range(1, n + 1):
-        if j == n or penalties[j - 1] < WORD:
-            if at[j] - at[ends[-1]] > max_chars // 4:
-                ends += range(ends[-1] + 1, j)
-            ends.append(j)
-    return ends
-
-
-def cut_points(lengths: list[int], penalties: list[float], max_chars: int, overlap_chars: int) -> list[tuple[int, int]]:
+def cut_points(lengths: list[int], penalties: list[float], max_chars: int, overlap_chars: int, begin: int = 0) -> list[tuple[int, int]]:
     """Pieces as (first, end) of atom numbers, overlap included; every atom fits ``max_chars`` on its own.
 
     Consecutive atoms are joined by one blank. The state is the end of the last piece; a piece that ends
-    at j starts with the atoms that fit the overlap before the previous end i.
+    at j starts with the atoms that fit the overlap before the previous end i. Every atom may be the last of
+    a piece. A piece that doesn't fit with its overlap costs ``SHORTENED``, so it is made only where no other
+    cuts exist; its overlap is what fits. The atoms before ``begin`` are overlap only.
     """
     n = len(lengths)
-    if not n:
+    if begin >= n:
         return []
-    at = [0]
-    for x in lengths:
-        at.append(at[-1] + x + 1)
-    whole = at[n] - 1
-    if whole <= max_chars:
-        return [(0, n)]
-    ends = allowed_ends(at, penalties, max_chars)
-    back, b = [0] * len(ends), 0
-    for k, i in enumerate(ends[1:], 1):
-        while b < i and at[i] - 1 - at[b] > overlap_chars:
+    at = np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64) + 1)])
+    inside = [False, *[x == INSIDE for x in penalties]]  # of the atom after: whether it goes on with a word
+    places, back, b = at.tolist(), [0] * (n + 1), 0
+    for i in range(1, n + 1):
+        while b < i and (places[i] - 1 - places[b] > overlap_chars or inside[b]):
             b += 1
-        back[k] = b
+        back[i] = b
+    if places[n] - 1 - places[back[begin]] <= max_chars:
+        return [(back[begin], n)]
+    whole = places[n] - 1 - places[begin]
     aim = min(max_chars, max(whole / -(-whole // max(1, max_chars - overlap_chars)) + overlap_chars, max_chars / 2))
-    best, prev = [0.0] + [float("inf")] * (len(ends) - 1), [0] * len(ends)
-    for k in range(1, len(ends)):
-        j = ends[k]
-        cost = 1.0 + (penalties[j - 1] if j < n else 0.0)
-        for m in range(k - 1, -1, -1):
-            i = ends[m]
-            if at[j] - 1 - at[i] > max_chars:
-                break
-            size = min(max_chars, at[j] - 1 - at[back[m] if i else 0])
-            short = (aim - size) / max_chars
-            total = best[m] + cost + 4 * short * short
-            if total < best[k]:
-                best[k], prev[k] = total, m
-    pieces, k = [], len(ends) - 1
-    while k:
-        m, j = prev[k], ends[k]
-        start = back[m] if m else 0
-        while at[j] - 1 - at[start] > max_chars:
+    best, prev, low, starts = np.full(n + 1, np.inf), [0] * (n + 1), begin, at[back]
+    best[begin] = 0.0
+    for j in range(begin + 1, n + 1):
+        while places[j] - 1 - places[low] > max_chars:
+            low += 1
+        size = places[j] - 1 - starts[low:j]
+        short = (aim - np.minimum(size, max_chars)) / max_chars
+        total = best[low:j] + 4 * short * short + SHORTENED * (size > max_chars)
+        i = j - 1 - int(np.argmin(total[::-1]))
+        best[j], prev[j] = total[i - low] + 1.0 + (penalties[j - 1] if j < n else 0.0), i
+    pieces, j = [], n
+    while j > begin:
+        i = prev[j]
+        start = back[i]
+        while start < i and (places[j] - 1 - places[start] > max_chars or inside[start]):
             start += 1
         pieces.append((start, j))
-        k = m
+        j = i
     return pieces[::-1]
 
 
@@ -108,11 +98,10 @@ def split_words(words: list[str], line_ends: list[bool], max_chars: int, overlap
             owner.append(w)
             penalties.append(INSIDE if p < len(parts) - 1 else boundary_penalty(word, line_ends[w]))
     found, done = [], carried
-    for start, end in cut_points([len(a) for a in atoms], penalties, max_chars, overlap_chars):
-        if owner[end - 1] >= carried:
-            text = "".join(a if i == start else a if owner[i] == owner[i - 1] else f" {a}" for i, a in enumerate(atoms[start:end], start))
-            found.append((owner[start], owner[end - 1] + 1, max(0, done - owner[start]), text))
-            done = owner[end - 1] + 1
+    for start, end in cut_points([len(a) for a in atoms], penalties, max_chars, overlap_chars, bisect_left(owner, carried)):
+        text = "".join(a if i == start else a if owner[i] == owner[i - 1] else f" {a}" for i, a in enumerate(atoms[start:end], start))
+        found.append((owner[start], owner[end - 1] + 1, max(0, done - owner[start]), text))
+        done = owner[end - 1] + 1
     return found
 
 
@@ -163,7 +152,8 @@ def cut_items(words: DataFrame, keys: list[str], max_chars: int = 1000, overlap_
     """The pieces of the items that ``long_keys`` names; their words are shuffled once, by key."""
     on = [words[k].eqNullSafe(F.col(f"_long_{k}")) for k in keys]
     long = long_keys(words, keys, max_chars).select(*[F.col(k).alias(f"_long_{k}") for k in keys])
-    parts = gathered(words.join(long, on, "left_semi"), keys, block_lines)
+    # A line has a letter and a blank at least: so many lines hold any overlap.
+    parts = gathered(words.join(long, on, "left_semi"), keys, block_lines, min(block_lines, overlap_chars // 2 + 1))
     kinds = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     fn = partial(_piece_batches, n_keys=len(keys), max_chars=max_chars, overlap_chars=overlap_chars)

@@ -96,6 +96,33 @@ def test_pieces_cover_all_words_within_the_limit(words, limit, overlap, per_line
         assert len(got) == (1 if words else 0) and (not words or got[0][3] == " ".join(words))
 
 
+def overlap_of(words, end, overlap):
+    """How many words the longest run of whole words before ``end`` within the overlap has."""
+    return max((k for k in range(end + 1) if len(" ".join(words[end - k : end])) <= overlap), default=0)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["der", "Turm,", "steht.", "Mühlenwerk", "a", "und"]), max_size=80), st.integers(30, 60), st.integers(0, 15), st.integers(1, 9), st.integers(0, 6))
+def test_every_overlap_is_the_longest_that_fits(words, limit, overlap, per_line, carried):
+    got = pieces.split_words(words, [i % per_line == 0 for i in range(len(words))], limit, overlap, carried)
+    done = carried
+    for first, end, again, text in got:
+        assert again == overlap_of(words, done, overlap) == done - first and text == " ".join(words[first:end]) and len(text) <= limit
+        done = end
+    assert done == max(len(words), carried) or not got
+
+
+def test_a_region_just_under_two_pieces_keeps_its_overlap():
+    words, ends = ["wort"] * 392, [i % 10 == 9 for i in range(392)]  # 1,959 characters, a line end every 50
+    got = pieces.split_words(words, ends, 1000, 100)
+    assert len(got) == 3 and [again for _, _, again, _ in got] == [0, 20, 20] and max(len(t) for *_, t in got) <= 1000
+
+
+def test_a_word_too_long_for_the_overlap_shortens_it_and_no_more():
+    got = pieces.split_words(["aa", "bb", "cc", "x" * 48, "dd", "ee"], [False] * 6, 50, 8)
+    assert [(again, t) for _, _, again, t in got] == [(0, "aa bb cc"), (0, "x" * 48), (0, "dd ee")]
+
+
 def test_cuts_fall_on_sentence_ends_where_they_can():
     words = ("aaa bbb ccc. " * 12).split()
     got = pieces.split_words(words, [False] * len(words), 60, 0)
