@@ -4,7 +4,7 @@
    divided at line ends, keeps what the page's edge says about furniture, sets aside runs of unlisted
    words with their neighbours, and counts word bigrams and the evidence for character confusions.
 2. The confusion counts of all pages make the channel. Unlisted words get the listed words that the
-   channel may have turned into them (up to ``MAX_ERRORS`` confusions and any stray signs).
+   channel may have turned into them (``MAX_ERRORS`` confusions, more in long words, and any stray signs).
 3. Each run is decoded by Viterbi: channel probability times bigram likelihood, with the unlisted word
    itself (a name, a foreign word) as one more candidate. Words with one reading only cut a line into
    runs, so decoding a run between its neighbours is decoding the line.
@@ -38,10 +38,13 @@ from leafwright.storage import bounded_rows, require, written
 
 MAX_LISTED = 2_000_000
 MAX_CONFUSIONS = 5_000
+#: Confusions that a word may have; a long one as many as a third of its letters.
 MAX_ERRORS = 3
 #: Share of words that the channel changes, and of words that are not listed: the priors of decoding.
 P_MISREAD, P_UNLISTED = 0.02, 0.03
 LETTER = math.log(1 / 30)
+#: Weight of the bigrams against the word alone.
+BIGRAMS = 0.7
 PAGE, RUN, GRAM, REPAIR, VOTE = range(5)
 STEP = "kind int, page_id string, book_id string, a bigint, b bigint, text string"
 
@@ -296,10 +299,16 @@ class Decoder:
             self.back.setdefault(seen, []).append((true, p))
         self.longest = max((len(s) for s in self.back), default=1)
         self.stray = math.log(0.1)
+        self.unseen = math.log(1 - BIGRAMS)
+        self.rarest = min(words.logp, default=0.0)
 
     @lru_cache(maxsize=100_000)  # noqa: B019 (one decoder per task)
     def readings(self, form: str) -> tuple[tuple[int, float], ...]:
-        """Listed words and the log probability that the channel made ``form`` of them; best four."""
+        """Listed words and the log probability that the channel made ``form`` of them.
+
+        Only words that cannot win are left out: those less likely than another one even if all their
+        bigrams are certain and none of the other's has been seen.
+        """
         bare = _STRAYS.sub("", form)
         start = (len(form) - len(bare)) * self.stray
         if bare in self.words.ids:
@@ -307,15 +316,20 @@ class Decoder:
         if not bare.isalpha() or len(bare) < 2:
             return ()
         found: dict[int, float] = {}
-        for allowed in range(1, MAX_ERRORS + 1):
+        limit = max(MAX_ERRORS, len(bare) // 3)
+        for allowed in range(1, limit + 1):
             self._walk(self.words.trie(), bare, 0, allowed, start, found)
             if found:
                 break
-        return tuple(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:4])
-
-
-    def _walk(self, node: dict, form: str, at: int, errors: int, p: float, found: dict[int, float]) -> None:
-        """Follow the word tree along ``form``, undoing at most ``errors`` confusions."""
+        if found:
+            sure = lambda: max(p + self.unseen + self.words.logp[i] for i, p in found.items()) + self.unseen + self.rarest
+            self._walk(self.words.trie(), bare, 0, limit, start, found, sure())
+            least = sure()
+            found = {i: p for i, p in found.items() if p >= least}
+        return tuple(sorted(found.items(), key=lambda x: (-x[1], x[0])))
+
+    def _walk(self, node: dict, form: str, at: int, errors: int, p: float, found: dict[int, float], least: float = -math.inf) -> None:
+        """Follow the word tree along ``form``, undoing at most ``errors`` confusions; no further where p is below ``least``."""
         if at == len(form):
             hit = node.get("")
             if hit is not None and found.get(hit, -math.inf) < p:
@@ -323,18 +337,20 @@ class Decoder:
             return
         same = node.get(form[at])
         if same is not None:
-            self._walk(same, form, at + 1, errors, p, found)
+            self._walk(same, form, at + 1, errors, p, found, least)
         if not errors:
             return
         for n in range(1, min(self.longest, len(form) - at) + 1):
             for true, q in self.back.get(form[at : at + n], ()):
+                if p + q < least:
+                    continue
                 below = node
                 for c in true:
                     below = below.get(c)
                     if below is None:
                         break
                 else:
-                    self._walk(below, form, at + n, errors - 1, p + q, found)
+                    self._walk(below, form, at + n, errors - 1, p + q, found, least)
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch], listed, channel) -> Iterator[pa.RecordBatch]:
@@ -363,7 +379,7 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch], listed, channel) -> It
 def viterbi(left: int, right: int, items: list, counts: dict[int, int], words: WordList) -> list[int]:
     """The listed word behind every item of a run, or -1 where it stands as it is."""
     size = len(words.words) + 1
-    weight = 0.7
+    weight = BIGRAMS
 
     def follows(a: int, b: int) -> float:
         if b < 0:

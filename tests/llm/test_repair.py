@@ -98,6 +98,20 @@ def test_channel_probabilities_come_from_distinct_forms():
     assert decoder.readings("turm") == () and decoder.readings("12") == () and decoder.readings("xyzxyz") == ()
 
 
+def test_all_readings_reach_the_lattice():
+    listed = ["haus", "maus", "laus", "raus", "faus", "naun"]
+    words = channel.WordList([(w, 10) for w in listed])
+    decoder = repair.Decoder(words, {f"{a}>x": -1.0 - i / 10 for i, a in enumerate("hmlrfn")} | {"n>s": -1.0})
+    got = dict(decoder.readings("xaus"))
+    assert {words.words[i] for i in got} == set(listed) and got[words.ids["naun"]] == pytest.approx(-2.5)
+
+
+def test_a_long_word_may_have_more_confusions():
+    words = channel.WordList([("feststellenes", 10), ("haus", 10)])
+    decoder = repair.Decoder(words, {"s>f": -1.0, "e>c": -1.0})
+    assert [words.words[i] for i, _ in decoder.readings("fcftftcllenes")] == ["feststellenes"]
+
+
 def test_viterbi_weighs_neighbours():
     words = channel.WordList([("haus", 10), ("maus", 10), ("das", 100), ("die", 100)])
     ids, size = words.ids, 5
