@@ -185,7 +185,7 @@ class Reader:
             self.put(VOTE, page_id, book_id, text=vote)
         tails = [[k, at.ids[ends[k] - 1], at.texts[ends[k] - 1]] for k in range(n) if (k == n - 1 or regions[k + 1] != regions[k]) and _open(at.forms[ends[k] - 1], ends[k] - 1 in taken)]
         heads = [[k, at.ids[starts[k]], at.texts[starts[k]]] for k in range(n) if (k == 0 or regions[k - 1] != regions[k]) and at.forms[starts[k]].lower and starts[k] not in taken]
-        self.put(PAGE, page_id, book_id, text=json.dumps({"lines": lines, "tails": tails[-4:], "heads": heads[:4]}, ensure_ascii=False))
+        self.put(PAGE, page_id, book_id, text=json.dumps({"lines": lines, "tails": tails, "heads": heads}, ensure_ascii=False))
 
 
 class _Pages:
@@ -470,7 +470,9 @@ def page_edges(steps: DataFrame, listed) -> DataFrame:
     number = F.regexp_extract("page_id", r"(\d{1,15})$", 1)
     pages = steps.where(F.col("kind") == PAGE).select("page_id", "book_id", "text", F.regexp_replace("page_id", r"\d{1,15}$", "").alias("prefix"), F.when(number != "", number.cast("bigint")).alias("seq"))
     after = pages.where("seq is not null").select("prefix", (F.col("seq") - 1).alias("seq"), F.col("page_id").alias("next_id"), F.col("text").alias("next_text"), F.col("book_id").alias("next_book"))
-    both = pages.join(after, ["prefix", "seq"], "left").where("next_book is null or next_book <=> book_id").join(said, "book_id", "left")
+    after = after.withColumnsRenamed({"prefix": "next_prefix", "seq": "before"})
+    follows = (F.col("prefix") == F.col("next_prefix")) & (F.col("seq") == F.col("before")) & (F.col("next_book").isNull() | F.col("next_book").eqNullSafe(F.col("book_id")))
+    both = pages.join(after, follows, "left").join(said, "book_id", "left")
     rows = both.select("page_id", "text", "next_id", "next_text", "said")
     return rows.mapInArrow(partial(_edge_batches, listed=listed), "word_id bigint, noise string, repaired string")
 

@@ -65,6 +65,21 @@ def test_furniture_and_a_word_over_the_page_end(spark):
     assert [x for x in got if x[1] != "furniture"] == [("ter", "break", None), ("un-", "break", "unter")]
 
 
+def test_a_page_end_before_more_than_four_open_ends(spark):
+    pages = [[["das alte Tor steht un-"], *[[f"der xyz{c}q"] for c in "abcdef"]], [*[[f"ab{c}q der"] for c in "abcdef"], ["ter dem Haus"]]]
+    assert [x for x in found(spark, book(spark, pages)) if x[1] == "break"] == [("ter", "break", None), ("un-", "break", "unter")]
+
+
+def test_a_page_keeps_its_furniture_where_another_book_goes_on(spark):
+    from pyspark.sql import functions as F
+
+    words = book(spark, [[["der Turm steht"], ["(12)"]], [["das Haus"]]], types={(1, 1): "page-number"})
+    other = words.withColumn("book_id", F.when(F.col("page_id") == "b_00000002", F.lit("c")).otherwise(F.col("book_id")))
+    none = words.withColumn("book_id", F.when(F.col("page_id") == "b_00000002", F.col("book_id")))
+    for table in (other, none):
+        assert [x for x in found(spark, table) if x[1] == "furniture"] == [("(12)", "furniture", None)]
+
+
 def test_paragraphs_are_whole(spark):
     pages = [[["Dcr alte Müh⸗", "lenwerk, steht hier."]]]
     words = book(spark, pages)
