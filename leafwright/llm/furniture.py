@@ -1,17 +1,26 @@
-"""Page furniture: running headers and page numbers, told from the pages of a whole book.
+"""Page furniture: running headers and page numbers, told from the pages around a page.
 
 A page number is a number alone on a line (or at either end of a running header) at the top or foot
-of a page whose distance from the page's place in the book is the same on other pages. A running
-header is a line at the top of a page that stands at the top of other pages of the book too, give or
-take a few misread letters. The stated type of a region counts only where it names furniture; the
-first page of a book carries its title as a heading, which is none.
+of a page whose distance from the page's place in the book is the same on pages nearby. A
+running header is a line at the top of a page that stands at the top of pages nearby too, give or
+take a few misread letters. Nearby is within ``REACH`` pages of the same book, so a book of any
+length, with any number of headers and numberings, is judged alike. The stated type of a region
+counts only where it names furniture; the first page of a book carries its title as a heading, which
+is none.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 
+#: Lines that count as the top or the foot of a page.
 EDGE_LINES = 3
+#: Pages on either side that tell a page's furniture; a header on a page this near needs no third page.
+REACH, CLOSE = 16, 4
+#: Pages on either side that furniture of the next page depends on: its neighbours, theirs, and itself.
+HALO = 2 * REACH + 2
 DECORATED = ("—9—", "-9-", "(9)", "S.9", "[9]", "–9–")
 NUMBER_TYPES = ("page-number", "page_number", "pagenumber")
 FIXED_TYPES = ("marginalia", "footnote", "heading")
@@ -86,59 +95,98 @@ def alike(a: str, b: str) -> bool:
     return row[-1] <= limit
 
 
-def votes(lines: list[dict], seq: int | None) -> list[str]:
-    """What one page says about its book: header keys, number offsets and styles, each once."""
-    said = {"p"}
-    for line in lines:
-        if line["top"] and line["k"] and line["single"]:
-            said.add(f"h{line['k']}")
-        if line["n"] is not None and seq is not None:
-            said.add(f"n{line['n'] - seq}")
-        if line["n"] is not None and line["s"]:
-            said.add(f"s{line['s']}")
-    return sorted(said)
-
-
-class Book:
-    """The votes of a book's pages."""
-
-    def __init__(self, counts: list[tuple[str, int]]) -> None:
-        self.pages = max((n for k, n in counts if k == "p"), default=1)
-        least = max(2, self.pages // 40)
-        self.headers = [k[1:] for k, n in sorted(counts, key=lambda x: (-x[1], x[0])) if k[0] == "h" and n >= least][:16]
-        offsets = sorted(((n, int(k[1:])) for k, n in counts if k[0] == "n"), reverse=True)
-        self.offset = offsets[0][1] if offsets and offsets[0][0] >= 2 else None
-        styles = sorted(((n, k[1:]) for k, n in counts if k[0] == "s"), reverse=True)
-        self.style = styles[0][1] if styles and styles[0][0] >= 2 else None
-
-    def is_number(self, line: dict, seq: int | None) -> bool:
+class Neighbours:
+    """What stands at the edges of consecutive pages.
+
+    ``pages`` are (number in the book, book, edge lines); all questions are about pages of the same
+    book within ``REACH`` of the one asked for.
+    """
+
+    def __init__(self, pages: list[tuple[int, str | None, list[dict]]]) -> None:
+        offsets, styles, keys = defaultdict(set), defaultdict(set), defaultdict(set)
+        for seq, book, lines in pages:
+            for line in lines:
+                if line["n"] is not None:
+                    offsets[book, line["n"] - seq].add(seq)
+                    if line["s"]:
+                        styles[book].add((seq, line["s"]))
+                if line["top"] and line["k"] and line["single"] and (seq == 1 or line["type"] not in FIXED_TYPES):
+                    keys[book].add((seq, line["k"]))
+        self._offsets = {k: sorted(v) for k, v in offsets.items()}
+        self._styles = {k: sorted(v) for k, v in styles.items()}
+        self._keys = {k: sorted(v) for k, v in keys.items()}
+        self._headed: dict[str | None, list[int]] = {}
+        headed = defaultdict(set)
+        for seq, book, lines in pages:
+            if any(self.is_header(x, seq, book) for x in lines):
+                headed[book].add(seq)
+        self._headed = {k: sorted(v) for k, v in headed.items()}
+
+    @staticmethod
+    def _near(found: list, first, last) -> list:
+        return found[bisect_left(found, first) : bisect_right(found, last)]
+
+    def same_offset(self, offset: int, seq: int, book: str | None) -> bool:
+        """Whether a page ``CLOSE`` by, or two pages nearby, have the same distance between number and place."""
+        near = [s for s in self._near(self._offsets.get((book, offset), []), seq - REACH, seq + REACH) if s != seq]
+        return len(near) > 1 or any(abs(s - seq) <= CLOSE for s in near)
+
+    def style(self, seq: int, book: str | None) -> str | None:
+        """How pages nearby dress their numbers, if two agree."""
+        near = self._near(self._styles.get(book, []), (seq - REACH, ""), (seq + REACH, "\U0010ffff"))
+        counts = Counter(style for _, style in near)
+        best = max(counts, key=lambda x: (counts[x], x), default=None)
+        return best if best is not None and counts[best] >= 2 else None
+
+    def same_header(self, key: str, seq: int, book: str | None) -> bool:
+        """Whether the line stands at the top of a page ``CLOSE`` by, or of two nearby, or is the title of the book."""
+        near = self._near(self._keys.get(book, []), (seq - REACH, ""), (seq + REACH, "\U0010ffff"))
+        others, known = set(), {}
+        for s, other in near:
+            if s == seq or s in others:
+                continue
+            if other not in known:
+                known[other] = alike(key, other)
+            if known[other]:
+                if abs(s - seq) <= CLOSE or others or s == 1:
+                    return True
+                others.add(s)
+        return False
+
+    def has_headers(self, seq: int, book: str | None) -> bool:
+        """Whether two other pages nearby have running headers."""
+        near = self._near(self._headed.get(book, []), seq - REACH, seq + REACH)
+        return sum(s != seq for s in near) >= 2
+
+    def is_number(self, line: dict, seq: int | None, book: str | None) -> bool:
         if line["n"] is None:
             return False
         kind = line["type"]
         if kind in NUMBER_TYPES or (kind == "header" and not line["k"]):
             return True
-        if self.offset is not None and seq is not None and line["n"] - seq == self.offset:
-            return kind not in ("footnote", "heading")
-        if kind in FIXED_TYPES or line["k"]:
+        if seq is not None and kind not in ("footnote", "heading") and self.same_offset(line["n"] - seq, seq, book):
+            return True
+        if kind in FIXED_TYPES or line["k"] or line["s"] not in DECORATED:
             return False
-        return line["s"] in DECORATED and line["s"] == (self.style or line["s"])
+        style = self.style(seq, book) if seq is not None else None
+        return line["s"] == (style or line["s"])
 
-    def is_header(self, line: dict) -> bool:
+    def is_header(self, line: dict, seq: int | None, book: str | None) -> bool:
         if not line["top"] or not line["k"] or line["type"] in FIXED_TYPES:
             return False
         if line["type"] == "header" and line["small"]:
             return True
-        return line["single"] and any(alike(line["k"], h) for h in self.headers)
+        return line["single"] and seq is not None and self.same_header(line["k"], seq, book)
 
 
-def furniture_lines(lines: list[dict], seq: int | None, first_page: bool, book: Book) -> list[dict]:
+def furniture_lines(lines: list[dict], seq: int | None, book: str | None, around: Neighbours) -> list[dict]:
     """Which of a page's edge lines are furniture."""
-    numbers = [x for x in lines if book.is_number(x, seq)]
-    if first_page:
+    numbers = [x for x in lines if around.is_number(x, seq, book)]
+    if seq == 1:
         return [x for x in numbers if not x["k"]]
-    found = [x for x in lines if x in numbers or book.is_header(x)]
-    if book.headers and not any(x["k"] for x in found):
-        # The book has running headers, but this page's stands there once only: a lone short first line.
+    found = [x for x in lines if x in numbers or around.is_header(x, seq, book)]
+    if seq is not None and not any(x["k"] for x in found) and around.has_headers(seq, book):
+        # Pages around have running headers, but this page's stands there once only: a lone short first line.
         tops = [x for x in lines if x["top"] and x["k"] and x["alone"] and x["type"] not in FIXED_TYPES]
         if tops and tops[0] not in found and not tops[0]["long"]:
             found.append(tops[0])

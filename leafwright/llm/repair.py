@@ -1,20 +1,23 @@
 """Noise in recognised pages: furniture out, divided words joined, misread words corrected.
 
-1. Words are brought together by page (one shuffle) and read in order. One pass per page finds words
-   divided at line ends, keeps what the page's edge says about furniture, sets aside runs of unlisted
-   words with their neighbours, and counts word bigrams and the evidence for character confusions.
+1. Words are put in order by ranges of lines (one shuffle), so a task holds whole pages but for the first and
+   the last. One pass finds words divided at line ends, keeps what the page's edge says about furniture, sets
+   aside runs of unlisted words with their neighbours, and counts word bigrams and the evidence for character
+   confusions. Of pages that go on in another task the parts' edges are put together in a small second step.
 2. The confusion counts of all pages make the channel. Unlisted words get the listed words that the
    channel may have turned into them (``MAX_ERRORS`` confusions, more in long words, and any stray signs).
 3. Each run is decoded by Viterbi: channel probability times bigram likelihood, with the unlisted word
    itself (a name, a foreign word) as one more candidate. Words with one reading only cut a line into
    runs, so decoding a run between its neighbours is decoding the line.
-4. Headers and page numbers are told by what the pages of a book have in common, and a word divided
-   at a page end is joined with the first word of the next page's text.
-
-Defined cases: null texts and words without an id are skipped; a word delivered twice counts once; words without page or
-ordinals are read alone; pages without number have no next page; one huge page is read in blocks of
-lines; a page of only furniture gives only furniture; further columns are ignored; an empty table
-gives nothing.
+4. Headers and page numbers are told by what the pages nearby have in common, and a word divided at a
+   page end is joined with the first word of the next page's text. Pages meet in blocks of their order
+   with the pages around a block, so no book, however long, comes into one task.
+
+Defined cases: null texts are skipped, and words without an id, which no repair could name (paragraphs keep
+them as they are); a word delivered twice on a page counts once; words without page or ordinals are read alone;
+pages without number have no neighbours, so only stated types and dressed numbers tell their furniture; a page
+of only furniture gives only furniture; a line of more than ``MAX_HELD`` words is read in parts; further columns
+are ignored; an empty table gives nothing.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm.channel import DIVIDERS, JOINERS, Form, Forms, WordList, plain, shared_list
-from leafwright.llm.furniture import EDGE_LINES, Book, furniture_lines, read_line, votes
+from leafwright.llm.furniture import EDGE_LINES, HALO, Neighbours, furniture_lines, read_line
 from leafwright.storage import bounded_rows, require, written
 
 MAX_LISTED = 2_000_000
@@ -45,7 +48,9 @@ P_MISREAD, P_UNLISTED = 0.02, 0.03
 LETTER = math.log(1 / 30)
 #: Weight of the bigrams against the word alone.
 BIGRAMS = 0.7
-PAGE, RUN, GRAM, REPAIR, VOTE = range(5)
+PAGE, RUN, GRAM, REPAIR, PART = range(5)
+#: Rows of one page that a task holds at once, and pages of a block of neighbours.
+MAX_HELD, BLOCK_PAGES = 131_072, 256
 STEP = "kind int, page_id string, book_id string, a bigint, b bigint, text string"
 
 #: Confusions known of blackletter print (true>seen), each worth as much as one observation.
@@ -88,9 +93,8 @@ class Reader:
             none = pa.nulls(len(codes), pa.string())
             yield _step_batch(pa.array(np.full(len(codes), GRAM, dtype=np.int32)), none, none, pa.array(codes), pa.array(n), none)
 
-    def read(self, batch: pa.RecordBatch) -> None:
-        """Whole pages (or blocks of lines of huge ones), rows in order; a word delivered twice counts once."""
-        batch = batch.filter(pc.is_valid(batch.column("word_id")))
+    def read(self, batch: pa.RecordBatch, first_open: bool = False, last_open: bool = False) -> None:
+        """Whole pages, rows in order; the first or last page is open if it may go on outside the batch."""
         ids = batch.column("word_id").to_numpy()
         if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
             batch = batch.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]])))
@@ -99,7 +103,7 @@ class Reader:
             return
         text = batch.column("text")
         texts = text.to_pylist()
-        fresh = _changes(batch.column("page_id")) | _changes(batch.column("block"))
+        fresh = _changes(batch.column("page_id"))
         region, line = (batch.column(c).fill_null(-1).to_numpy() for c in ("region_ord", "line_ord"))
         begins = fresh | (region < 0) | (line < 0)
         begins[1:] |= (region[1:] != region[:-1]) | (line[1:] != line[:-1])
@@ -108,9 +112,9 @@ class Reader:
         listed = np.array([f.listed for f in forms], dtype=np.int64)
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(ids))
-        at = _Pages(batch, ids.tolist(), texts, forms, region.tolist(), fresh, starts.tolist(), ends.tolist())
-        taken = self._divided(at)
-        self._runs(at, listed, begins, taken)
+        at = _Pages(batch, ids.tolist(), texts, forms, region.tolist(), fresh, begins.tolist(), starts.tolist(), ends.tolist())
+        taken = self._divided(at, listed)
+        self._runs(at, listed, taken)
         pairs = np.flatnonzero(~begins[1:] & (listed[1:] >= 0) & (listed[:-1] >= 0)) + 1
         self.grams.append(listed[pairs - 1] * (len(self.words.words) + 1) + listed[pairs])
         self.n_grams += len(pairs)
@@ -118,30 +122,37 @@ class Reader:
         widths = (chars[ends] - chars[starts]).tolist()
         firsts = np.flatnonzero(fresh[starts]).tolist()
         for first, end in zip(firsts, [*firsts[1:], len(starts)], strict=True):
-            self._page(at, first, end, widths, taken)
+            is_open = (first_open and first == 0) or (last_open and end == len(starts))
+            self._page(at, first, end, widths, taken, is_open)
 
-    def _divided(self, at: _Pages) -> set[int]:
+    def _divided(self, at: _Pages, listed: np.ndarray) -> set[int]:
         """Words divided between two lines of the page; returns their positions.
 
-        Between regions only a listed word joins: a page number or a note may follow the text instead.
+        A joined word that is not listed may be misread as well: it is set aside as a run of its own.
         """
         taken: set[int] = set()
-        forms, fresh, known = at.forms, at.fresh, self.words.ids
         for end, start in zip(at.ends[:-1], at.starts[1:], strict=True):
-            a, b = forms[end - 1], forms[start]
-            if not b.lower or not a.stem or not (a.divided or (a.listed < 0 and b.listed < 0)) or fresh[start]:
+            if at.fresh[start] or not may_join(at.forms[end - 1], at.forms[start]):
                 continue
-            if joins(a, b, self.words) and (at.region[end - 1] == at.region[start] or a.stem + b.core in known):
+            if joins_here(at.forms[end - 1], at.forms[start], at.region[end - 1] == at.region[start], self.words):
                 taken |= {end - 1, start}
-                self.put(REPAIR, a=at.ids[end - 1], text=joined(at.texts[end - 1], at.texts[start]))
-                self.put(REPAIR, a=at.ids[start])
+                page, region = at.page(end - 1), at.region[end - 1]
+                self.put(REPAIR, page, a=at.ids[end - 1], b=region, text=joined(at.texts[end - 1], at.texts[start]))
+                self.put(REPAIR, at.page(start), a=at.ids[start], b=at.region[start])
+                core = Form(joined(at.texts[end - 1], at.texts[start]), self.words)
+                if core.alphabetic:
+                    before = int(listed[end - 2]) if not at.begins[end - 1] and end - 2 not in taken else -1
+                    after = int(listed[start + 1]) if start + 1 < len(listed) and not at.begins[start + 1] else -1
+                    self._run(at.ids[end - 1], before, after, [[at.ids[end - 1], core.core]], page, region)
         return taken
 
-    def _runs(self, at: _Pages, listed: np.ndarray, begins: np.ndarray, taken: set[int]) -> None:
+    def _run(self, run: int, before: int, after: int, items: list, page: str | None, region: int) -> None:
+        self.put(RUN, a=run, text=json.dumps([before, after, items, page, region], ensure_ascii=False))
+
+    def _runs(self, at: _Pages, listed: np.ndarray, taken: set[int]) -> None:
         """Runs of unlisted words of a line with the listed words (or -1) on either side."""
-        forms, ids, n = at.forms, at.ids, len(listed)
+        forms, ids, at_start, n = at.forms, at.ids, at.begins, len(listed)
         odd = [i for i in np.flatnonzero(listed < 0).tolist() if forms[i].alphabetic and i not in taken and (not forms[i].divided or forms[i].dividers == "~")]
-        at_start = begins.tolist()
         k = 0
         while k < len(odd):
             run = [odd[k]]
@@ -152,48 +163,67 @@ class Reader:
             left, right = run[0] - 1, run[-1] + 1
             before = int(listed[left]) if not at_start[run[0]] and left not in taken else -1
             after = int(listed[right]) if right < n and not at_start[right] and right not in taken else -1
-            self.put(RUN, a=ids[run[0]], text=json.dumps([before, after, [[ids[i], forms[i].core] for i in run]], ensure_ascii=False))
+            self._run(ids[run[0]], before, after, [[ids[i], forms[i].core] for i in run], at.page(run[0]), at.region[run[0]])
 
-    def _page(self, at: _Pages, first: int, end: int, widths: list[int], taken: set[int]) -> None:
+    def _page(self, at: _Pages, first: int, end: int, widths: list[int], taken: set[int], is_open: bool) -> None:
         """The edge lines, and the words at line ends and starts that a neighbouring page may continue."""
         row = at.starts[first]
-        page_id, block = at.batch.column("page_id")[row].as_py(), at.batch.column("block")[row].as_py()
-        if page_id is None or block != 0:
+        page_id = at.page(row)
+        if page_id is None:
             return
         book_id, types = at.batch.column("book_id")[row].as_py(), at.batch.column("region_type")
         starts, ends = at.starts[first:end], at.ends[first:end]
-        regions = [at.region[s] for s in starts]
-        sizes, longest, n = Counter(regions), max(widths[first:end]), len(starts)
-        top_regions = sorted(set(regions[:EDGE_LINES]))[:2]
-        lines, numbered = [], {}
-        edge = sorted({*range(min(EDGE_LINES, n)), *range(max(0, n - EDGE_LINES), n)})
-        for k in edge:
+        regions, n = [at.region[s] for s in starts], len(starts)
+        sizes, lines = Counter(regions), []
+        for k in sorted({*range(min(EDGE_LINES, n)), *range(max(0, n - EDGE_LINES), n)}):
             shown = [plain(t) for t in at.texts[starts[k] : ends[k]] if t is not None]
-            line = read_line([w for w in shown if w]) | {"k_no": k, "type": (types[starts[k]].as_py() or "").lower(), "ids": at.ids[starts[k] : ends[k]]}
-            numbered[k] = line["n"] is not None
-            lines.append(line)
-        for line in lines:
-            k = line["k_no"]
-            region, size = regions[k], sizes[regions[k]]
-            number_by = size == 2 and any(numbered.get(j) and regions[j] == region for j in (k - 1, k + 1))
-            single = size == 1 or number_by
-            line |= {"top": k < EDGE_LINES and region in top_regions, "single": single, "small": size <= 2, "alone": single and (k == 0 or (k == 1 and number_by)), "long": widths[first + k] > 0.9 * longest}
-            if line["n"] is not None and line["k"] and not single:
-                line["n"] = None
-        seq = sequence_of(page_id)
-        for vote in votes(lines, seq[1] if seq else None):
-            self.put(VOTE, page_id, book_id, text=vote)
-        tails = [[k, at.ids[ends[k] - 1], at.texts[ends[k] - 1]] for k in range(n) if (k == n - 1 or regions[k + 1] != regions[k]) and _open(at.forms[ends[k] - 1], ends[k] - 1 in taken)]
-        heads = [[k, at.ids[starts[k]], at.texts[starts[k]]] for k in range(n) if (k == 0 or regions[k - 1] != regions[k]) and at.forms[starts[k]].lower and starts[k] not in taken]
-        self.put(PAGE, page_id, book_id, text=json.dumps({"lines": lines, "tails": tails, "heads": heads}, ensure_ascii=False))
+            kind = (types[starts[k]].as_py() or "").lower()
+            lines.append(read_line([w for w in shown if w]) | {"k_no": k, "region": regions[k], "width": widths[first + k], "type": kind, "ids": at.ids[starts[k] : ends[k]]})
+        tails = [[k, at.ids[ends[k] - 1], at.texts[ends[k] - 1], regions[k]] for k in range(n) if (k == n - 1 or regions[k + 1] != regions[k]) and _open(at.forms[ends[k] - 1], ends[k] - 1 in taken)]
+        heads = [[k, at.ids[starts[k]], at.texts[starts[k]], regions[k]] for k in range(n) if (k == 0 or regions[k - 1] != regions[k]) and at.forms[starts[k]].lower and starts[k] not in taken]
+        part = {"n": n, "longest": max(widths[first:end]), "sizes": [[r, sizes[r]] for r in {x["region"] for x in lines}], "lines": lines, "tails": tails, "heads": heads}
+        if not is_open:
+            self.put(PAGE, page_id, book_id, text=json.dumps(whole_page([part]), ensure_ascii=False))
+            return
+        last = ends[-1] - 1
+        part |= {"order": [regions[0], int(at.batch.column("line_ord")[row].as_py() or 0), int(at.batch.column("word_ord")[row].as_py() or 0)], "ends": [[at.ids[i], at.texts[i], at.region[i], i in taken] for i in (row, last)]}
+        self.put(PART, page_id, book_id, text=json.dumps(part, ensure_ascii=False))
+
+
+def whole_page(parts: list[dict]) -> dict:
+    """The edges of a page from those of its parts, in order: edge lines, region ends and region starts."""
+    sizes, lines, tails, heads, n = Counter(), [], [], [], 0
+    for part in parts:
+        sizes.update(dict((r, size) for r, size in part["sizes"]))
+        lines += [x | {"k_no": x["k_no"] + n} for x in part["lines"]]
+        tails += [[t[0] + n, *t[1:]] for t in part["tails"]]
+        heads += [[h[0] + n, *h[1:]] for h in part["heads"]]
+        n += part["n"]
+    longest = max(part["longest"] for part in parts)
+    lines = [x for x in lines if x["k_no"] < EDGE_LINES or x["k_no"] >= n - EDGE_LINES]
+    top_regions = sorted({x["region"] for x in lines if x["k_no"] < EDGE_LINES})[:2]
+    numbered = {x["k_no"]: x["region"] for x in lines if x["n"] is not None}
+    out = []
+    for line in lines:
+        k, region, size = line["k_no"], line["region"], sizes[line["region"]]
+        number_by = size == 2 and any(numbered.get(j) == region for j in (k - 1, k + 1))
+        single = size == 1 or number_by
+        seen = {"top": k < EDGE_LINES and region in top_regions, "single": single, "small": size <= 2, "alone": single and (k == 0 or (k == 1 and number_by)), "long": line["width"] > 0.9 * longest}
+        number = None if line["k"] and not single else line["n"]
+        out.append({"k_no": k, "region": region, "n": number, "s": line["s"], "k": line["k"], "type": line["type"], "ids": line["ids"], **seen})
+    return {"lines": out, "tails": tails, "heads": heads}
 
 
 class _Pages:
     """The rows of some pages and where their lines start."""
 
-    def __init__(self, batch: pa.RecordBatch, ids: list, texts: list, forms: list, region: list, fresh: np.ndarray, starts: list, ends: list) -> None:
+    def __init__(self, batch: pa.RecordBatch, ids: list, texts: list, forms: list, region: list, fresh: np.ndarray, begins: list, starts: list, ends: list) -> None:
         self.batch, self.ids, self.texts, self.forms, self.region = batch, ids, texts, forms, region
-        self.fresh, self.starts, self.ends = fresh, starts, ends
+        self.fresh, self.begins, self.starts, self.ends = fresh, begins, starts, ends
+        self.pages = batch.column("page_id")
+
+    def page(self, row: int) -> str | None:
+        return self.pages[row].as_py()
 
 
 STEP_TYPES = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
@@ -216,6 +246,16 @@ def _open(form: Form, taken: bool) -> bool:
     return not taken and bool(form.stem) and (form.divided or form.listed < 0)
 
 
+def may_join(left: Form, right: Form) -> bool:
+    """Whether two words at a line end and the next line's start may be halves, by their looks alone."""
+    return right.lower and bool(left.stem) and (left.divided or (left.listed < 0 and right.listed < 0))
+
+
+def joins_here(left: Form, right: Form, same_region: bool, words: WordList) -> bool:
+    """Between regions only a listed word joins: a page number or a note may follow the text instead."""
+    return joins(left, right, words) and (same_region or left.stem + right.core in words.ids)
+
+
 def joins(left: Form | None, right: Form | None, words: WordList) -> bool:
     """Whether two words that meet at a line or page end are the halves of one."""
     if not left.stem or not right.core or not right.lower:
@@ -236,28 +276,62 @@ def joined(left: str, right: str) -> str:
     return plain(left).rstrip(DIVIDERS) + plain(right)
 
 
-def _read_batches(batches: Iterator[pa.RecordBatch], listed) -> Iterator[pa.RecordBatch]:
-    reader, rest = Reader(*shared_list(listed.value)), None
+def _read_batches(batches: Iterator[pa.RecordBatch], listed, max_held: int) -> Iterator[pa.RecordBatch]:
+    """Pages as they come; the first and last page of a task, and what is cut off of a huge one, stay open."""
+    reader, rest, first_open = Reader(*shared_list(listed.value)), None, True
     for batch in batches:
         held = batch if rest is None or not rest.num_rows else pa.concat_batches([rest, batch])
-        cuts = np.flatnonzero(_changes(held.column("page_id")) | _changes(held.column("block")))
+        cuts = np.flatnonzero(_changes(held.column("page_id")))
         cut = int(cuts[-1]) if len(cuts) else 0
-        reader.read(held.slice(0, cut))
-        rest = held.slice(cut)
+        if cut:
+            reader.read(held.slice(0, cut), first_open)
+            held, first_open = held.slice(cut), False
+        if held.num_rows > max_held:
+            lines = np.flatnonzero(_changes(held.column("region_ord")) | _changes(held.column("line_ord")))
+            at = int(lines[-1]) or held.num_rows
+            reader.read(held.slice(0, at), first_open=True, last_open=True)
+            held, first_open = held.slice(at), True
+        rest = held
         yield from reader.batches()
-    if rest is not None:
-        reader.read(rest)
+    if rest is not None and rest.num_rows:
+        reader.read(rest, first_open, last_open=True)
     yield from reader.batches(last=True)
 
 
-def read_pages(words: DataFrame, listed, block_lines: int = 4096) -> DataFrame:
-    """Step 1 over all words; written once, by kind of row."""
-    rows = require(words, "page_id", "book_id", "region_ord", "region_type", "line_ord", "word_ord", "word_id", "text")
-    block = F.coalesce(F.floor(F.col("line_ord") / block_lines), F.lit(0)) + 1000 * F.coalesce(F.floor(F.col("region_ord") / block_lines), F.lit(0))
-    keyed = rows.withColumn("block", block.cast("bigint"))
-    spread = F.when(F.col("page_id").isNull(), F.col("word_id"))
-    placed = keyed.repartition("page_id", "block", spread).sortWithinPartitions("page_id", "block", "region_ord", "line_ord", "word_ord", "word_id")
-    return written(placed.mapInArrow(partial(_read_batches, listed=listed), STEP), "pages", "kind")
+def _part_batches(batches: Iterator[pa.RecordBatch], listed) -> Iterator[pa.RecordBatch]:
+    """Pages put together from their parts, and words divided between two parts."""
+    words, forms = shared_list(listed.value)
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for page_id, book_id, texts in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            parts = sorted((json.loads(t) for t in texts), key=lambda x: (x["order"], x["ends"][0][0]))
+            page, gone = whole_page(parts), set()
+            rows = []
+            for one, two in zip(parts[:-1], parts[1:], strict=True):
+                (a, left, region_a, taken_a), (b, right, region_b, taken_b) = one["ends"][1], two["ends"][0]
+                if region_a == region_b:  # the region goes on: neither its end nor its start
+                    gone |= {("tail", a), ("head", b)}
+                if taken_a or taken_b or not may_join(forms(left), forms(right)):
+                    continue
+                if joins_here(forms(left), forms(right), region_a == region_b, words):
+                    gone |= {("tail", a), ("head", b)}
+                    rows += [(REPAIR, page_id, None, a, region_a, joined(left, right)), (REPAIR, page_id, None, b, region_b, None)]
+            page["tails"] = [t for t in page["tails"] if ("tail", t[1]) not in gone]
+            page["heads"] = [h for h in page["heads"] if ("head", h[1]) not in gone]
+            for row in [*rows, (PAGE, page_id, book_id, None, None, json.dumps(page, ensure_ascii=False))]:
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+        yield _step_batch(*[pa.array(v, t) for v, t in zip(out, STEP_TYPES, strict=True)])
+
+
+def read_pages(words: DataFrame, listed, max_held: int = MAX_HELD) -> DataFrame:
+    """Step 1 over all words; written once, by kind of row. Lines are never divided between tasks."""
+    rows = require(words, "page_id", "book_id", "region_ord", "region_type", "line_ord", "word_ord", "word_id", "text").where("word_id is not null")
+    alone = F.when(F.col("page_id").isNull() | F.col("region_ord").isNull() | F.col("line_ord").isNull(), F.col("word_id"))
+    placed = rows.withColumn("alone", alone).repartitionByRange("page_id", "region_ord", "line_ord", "alone").sortWithinPartitions("page_id", "region_ord", "line_ord", "word_ord", "word_id")
+    steps = written(placed.drop("alone").mapInArrow(partial(_read_batches, listed=listed, max_held=max_held), STEP), "pages", "kind")
+    parts = steps.where(F.col("kind") == PART).groupBy("page_id").agg(F.max("book_id").alias("book_id"), F.collect_list("text").alias("parts"))
+    return steps.where(F.col("kind") != PART).unionByName(written(parts.mapInArrow(partial(_part_batches, listed=listed), STEP), "parts", "kind"))
 
 
 def _evidence_batches(batches: Iterator[pa.RecordBatch], listed) -> Iterator[pa.RecordBatch]:
@@ -359,7 +433,7 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch], listed, channel) -> It
     for batch in batches:
         ids, texts, pairs = [], [], []
         for run, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            left, right, items = json.loads(text)
+            left, right, items, page, region = json.loads(text)
             options = [decoder.readings(core) for _, core in items]
             if not any(options):
                 continue
@@ -372,7 +446,7 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch], listed, channel) -> It
             asked |= {a * size + b for a in before for b in (right, size - 1) if right >= 0}
             ids.append(run)
             pairs.append(sorted(asked))
-            texts.append(json.dumps([left, right, [[w, core, o] for (w, core), o in zip(items, options, strict=True)]], ensure_ascii=False))
+            texts.append(json.dumps([left, right, [[w, core, o] for (w, core), o in zip(items, options, strict=True)], page, region], ensure_ascii=False))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(pairs, pa.list_(pa.int64()))], names=["run", "text", "pairs"])
 
 
@@ -399,18 +473,20 @@ def viterbi(left: int, right: int, items: list, counts: dict[int, int], words: W
 def _decode_batches(batches: Iterator[pa.RecordBatch], listed) -> Iterator[pa.RecordBatch]:
     words, _ = shared_list(listed.value)
     for batch in batches:
-        ids, corrected = [], []
+        pages, regions, ids, corrected = [], [], [], []
         for text, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            left, right, items = json.loads(text)
+            left, right, items, page, region = json.loads(text)
             for (word_id, _, _), i in zip(items, viterbi(left, right, items, dict(counts or ()), words), strict=True):
                 if i >= 0:
+                    pages.append(page)
+                    regions.append(region)
                     ids.append(word_id)
                     corrected.append(words.words[i])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(corrected, pa.string())], names=["word_id", "word"])
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.string()), pa.array(regions, pa.int32()), pa.array(ids, pa.int64()), pa.array(corrected, pa.string())], names=["page_id", "region_ord", "word_id", "word"])
 
 
 def misread_words(steps: DataFrame, listed) -> DataFrame:
-    """``word_id, word``: misread words and the listed word each was."""
+    """``page_id, region_ord, word_id, word``: misread words and the listed word each was."""
     spark = steps.sparkSession
     channel = spark.sparkContext.broadcast(channel_table(steps, listed))
     runs = steps.where(F.col("kind") == RUN).select("a", "text")
@@ -420,61 +496,109 @@ def misread_words(steps: DataFrame, listed) -> DataFrame:
     asked = open_runs.select("run", F.explode("pairs").alias("pair")).join(grams, "pair")
     known = asked.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("pair", "n"))).alias("counts"))
     lattice = open_runs.select("run", "text").join(known, "run", "left").select("text", "counts")
-    return lattice.mapInArrow(partial(_decode_batches, listed=listed), "word_id bigint, word string")
+    return lattice.mapInArrow(partial(_decode_batches, listed=listed), "page_id string, region_ord int, word_id bigint, word string")
 
 
-def _edge_batches(batches: Iterator[pa.RecordBatch], listed) -> Iterator[pa.RecordBatch]:
-    words, forms = shared_list(listed.value)
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [])
-        rows = zip(*[batch.column(n).to_pylist() for n in ("page_id", "text", "next_id", "next_text", "said")], strict=True)
-        for page_id, text, next_id, next_text, said in rows:
-            book = Book([(s["text"], s["n"]) for s in said or ()])
-            page, seq = json.loads(text), sequence_of(page_id)
-            dropped = furniture_lines(page["lines"], seq and seq[1], bool(seq and seq[1] == 1), book)
-            for line in dropped:
-                for word_id in line["ids"]:
-                    _add(out, word_id, "furniture", None)
-            if next_text is None:
+FIX = "page_id string, region_ord int, word_id bigint, noise string, repaired string"
+
+
+class Edges:
+    """Step 4 for blocks of neighbouring pages."""
+
+    def __init__(self, words: WordList, forms: Forms) -> None:
+        self.words, self.forms = words, forms
+        self.out: tuple[list, ...] = ([], [], [], [], [])
+
+    def put(self, *row) -> None:
+        for column, value in zip(self.out, row, strict=True):
+            column.append(value)
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string())
+        made = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(self.out, kinds, strict=True)], names=["page_id", "region_ord", "word_id", "noise", "repaired"])
+        self.out = ([], [], [], [], [])
+        return made
+
+    def block(self, rows: list[tuple]) -> None:
+        """``rows``: (page_id, book_id, number, whether the block is the page's own, edges)."""
+        pages = [(i, book, seq, own, json.loads(text)) for i, book, seq, own, text in rows]
+        around = Neighbours([(seq, book, page["lines"]) for _, book, seq, _, page in pages if seq is not None])
+        by_number: dict[int, list[int]] = {}
+        for k, page in enumerate(pages):
+            if page[2] is not None:
+                by_number.setdefault(page[2], []).append(k)
+        dropped: dict[int, list[dict]] = {}
+
+        def furniture(k: int) -> list[dict]:
+            if k not in dropped:
+                _, book, seq, _, page = pages[k]
+                dropped[k] = furniture_lines(page["lines"], seq, book, around)
+            return dropped[k]
+
+        for k, (page_id, book, seq, own, page) in enumerate(pages):
+            if not own:
                 continue
-            after, next_seq = json.loads(next_text), sequence_of(next_id)
-            gone = {x["k_no"] for x in furniture_lines(after["lines"], next_seq and next_seq[1], False, book)}
-            tails = [t for t in page["tails"] if t[0] not in {x["k_no"] for x in dropped}]
-            heads = [h for h in after["heads"] if h[0] not in gone]
-            made = _across(tails, heads, forms, words)
-            if made:
-                (_, a, left), (_, b, right) = made
-                _add(out, a, "break", joined(left, right))
-                _add(out, b, "break", None)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["word_id", "noise", "repaired"])
+            for line in furniture(k):
+                for word_id in line["ids"]:
+                    self.put(page_id, line["region"], word_id, "furniture", None)
+            after = by_number.get(seq + 1, []) if seq is not None else []
+            for n in after:
+                next_id, next_book = pages[n][:2]
+                if next_book is None or next_book == book:
+                    tails, heads = _kept(page["tails"], furniture(k)), _kept(pages[n][4]["heads"], furniture(n))
+                    made = _across(tails, heads, self.forms, self.words)
+                    if made:
+                        (_, a, left, region), (_, b, right, next_region) = made
+                        self.put(page_id, region, a, "break", joined(left, right))
+                        self.put(next_id, next_region, b, "break", None)
 
 
-def _add(out: tuple[list, ...], word_id: int, noise: str, repaired: str | None) -> None:
-    for column, value in zip(out, (word_id, noise, repaired), strict=True):
-        column.append(value)
+def _kept(places: list, dropped: list[dict]) -> list:
+    gone = {x["k_no"] for x in dropped}
+    return [p for p in places if p[0] not in gone]
+
+
+def _edge_batches(batches: Iterator[pa.RecordBatch], listed) -> Iterator[pa.RecordBatch]:
+    edges, held, key = Edges(*shared_list(listed.value)), [], None
+    for batch in batches:
+        for prefix, block, seq, own, page_id, book_id, text in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+            if (prefix, block) != key or block is None:
+                edges.block(held)
+                held, key = [], (prefix, block)
+            held.append((page_id, book_id, seq, own, text))
+        if edges.out[0]:
+            yield edges.batch()
+    edges.block(held)
+    yield edges.batch()
 
 
 def _across(tails: list, heads: list, forms: Forms, words: WordList) -> tuple | None:
     """The halves of a word divided between two pages: a listed word first, else the likeliest places."""
-    pairs = [(t, h) for t in reversed(tails) for h in heads if joins(forms(t[2]), forms(h[2]), words)]
-    for t, h in pairs:
-        if forms(t[2]).stem + forms(h[2]).core in words.ids:
-            return t, h
-    return pairs[0] if pairs else None
+    likely = None
+    for t in reversed(tails):
+        for h in heads:
+            if joins(forms(t[2]), forms(h[2]), words):
+                if forms(t[2]).stem + forms(h[2]).core in words.ids:
+                    return t, h
+                likely = likely or (t, h)
+    return likely
 
 
 def page_edges(steps: DataFrame, listed) -> DataFrame:
-    """``word_id, noise, repaired`` of furniture and of words divided between pages."""
-    said = steps.where(F.col("kind") == VOTE).groupBy("book_id", "text").agg(F.count("*").alias("n"))
-    said = said.where((F.col("n") >= 2) | (F.col("text") == "p")).groupBy("book_id").agg(F.collect_list(F.struct("text", "n")).alias("said"))
+    """``page_id, region_ord, word_id, noise, repaired`` of furniture and of words divided between pages.
+
+    A page goes to its block of ``BLOCK_PAGES`` pages, and to the next one too where it is within ``HALO`` of it.
+    """
     number = F.regexp_extract("page_id", r"(\d{1,15})$", 1)
-    pages = steps.where(F.col("kind") == PAGE).select("page_id", "book_id", "text", F.regexp_replace("page_id", r"\d{1,15}$", "").alias("prefix"), F.when(number != "", number.cast("bigint")).alias("seq"))
-    after = pages.where("seq is not null").select("prefix", (F.col("seq") - 1).alias("seq"), F.col("page_id").alias("next_id"), F.col("text").alias("next_text"), F.col("book_id").alias("next_book"))
-    after = after.withColumnsRenamed({"prefix": "next_prefix", "seq": "before"})
-    follows = (F.col("prefix") == F.col("next_prefix")) & (F.col("seq") == F.col("before")) & (F.col("next_book").isNull() | F.col("next_book").eqNullSafe(F.col("book_id")))
-    both = pages.join(after, follows, "left").join(said, "book_id", "left")
-    rows = both.select("page_id", "text", "next_id", "next_text", "said")
-    return rows.mapInArrow(partial(_edge_batches, listed=listed), "word_id bigint, noise string, repaired string")
+    seq = F.when(number != "", number.cast("bigint"))
+    pages = steps.where(F.col("kind") == PAGE).select("page_id", "book_id", "text", F.when(number != "", F.regexp_replace("page_id", r"\d{1,15}$", "")).alias("prefix"), seq.alias("seq"))
+    home = F.floor(F.col("seq") / BLOCK_PAGES)
+    blocks = F.array_distinct(F.array(home, F.floor((F.col("seq") - HALO) / BLOCK_PAGES), F.floor((F.col("seq") + HALO) / BLOCK_PAGES)))
+    spread = F.when(F.col("seq").isNull(), F.col("page_id"))
+    placed = pages.withColumn("home", home).select("prefix", F.explode(blocks).alias("block"), "seq", "home", "page_id", "book_id", "text", spread.alias("spread"))
+    rows = placed.repartition("prefix", "block", "spread").sortWithinPartitions("prefix", "block", "seq", "page_id")
+    own = F.coalesce(F.col("block") == F.col("home"), F.lit(True))
+    return rows.select("prefix", "block", "seq", own.alias("own"), "page_id", "book_id", "text").mapInArrow(partial(_edge_batches, listed=listed), FIX)
 
 
 def repairs(words: DataFrame, lexicon: DataFrame, limit: int = MAX_LISTED) -> DataFrame:
@@ -482,25 +606,60 @@ def repairs(words: DataFrame, lexicon: DataFrame, limit: int = MAX_LISTED) -> Da
 
     Furniture is only furniture, and the halves of a divided word are not misread on their own.
     """
+    return placed_repairs(words, lexicon, limit).select("word_id", "noise", "repaired")
+
+
+def placed_repairs(words: DataFrame, lexicon: DataFrame, limit: int = MAX_LISTED, max_held: int = MAX_HELD) -> DataFrame:
+    """``page_id, region_ord, word_id, noise, repaired``: the repairs and where their words stand (-1: no region)."""
     spark = words.sparkSession
     rows = bounded_rows(lexicon.select("word", "n_seen").where("word is not null").distinct().orderBy("word", "n_seen"), limit, "the word list")
     listed = spark.sparkContext.broadcast([(r["word"], r["n_seen"]) for r in rows])
-    steps = read_pages(words, listed)
-    edges = written(page_edges(steps, listed), "edges")
-    divided = steps.where(F.col("kind") == REPAIR).select(F.col("a").alias("word_id"), F.lit("break").alias("noise"), F.col("text").alias("repaired"))
-    misread = misread_words(steps, listed).select("word_id", F.lit("misread").alias("noise"), F.col("word").alias("repaired"))
-    inside = divided.unionByName(misread).join(edges.select("word_id"), "word_id", "left_anti")
-    return edges.unionByName(inside)
+    steps = read_pages(words, listed, max_held)
+    place = ("page_id", F.col("b").cast("int").alias("region_ord"), F.col("a").alias("word_id"))
+    divided = steps.where(F.col("kind") == REPAIR).select(*place, F.lit("break").alias("noise"), F.col("text").alias("repaired"))
+    misread = misread_words(steps, listed).select("page_id", "region_ord", "word_id", F.lit("misread").alias("noise"), F.col("word").alias("repaired"))
+    every = page_edges(steps, listed).unionByName(divided).unionByName(misread)
+    # Of one word: furniture before break before misread; a divided word that is misread too takes the corrected form.
+    kinds = every.groupBy("word_id").agg(F.min(F.struct(_rank("noise").alias("rank"), "noise", "page_id", "region_ord", "repaired")).alias("r"), F.max(F.when(F.col("noise") == "misread", F.col("repaired"))).alias("word"))
+    repaired = F.when((F.col("r.noise") == "break") & F.col("r.repaired").isNotNull() & F.col("word").isNotNull(), like_text(F.col("r.repaired"), F.col("word"))).otherwise(F.col("r.repaired"))
+    return kinds.select("r.page_id", "r.region_ord", "word_id", "r.noise", repaired.alias("repaired"))
+
+
+def _rank(noise: str):
+    return F.when(F.col(noise) == "furniture", 0).when(F.col(noise) == "break", 1).otherwise(2)
+
+
+def like_text(text, word):
+    """``word`` with the marks at either end of ``text`` and its capitals."""
+    lead, trail = F.regexp_extract(text, r"^([.,;:!?()]*)", 1), F.regexp_extract(text, r"([.,;:!?()]*)$", 1)
+    core = F.substr(text, F.length(lead) + 1, F.greatest(F.length(text) - F.length(lead) - F.length(trail), F.lit(0)))
+    first = F.substring(core, 1, 1)
+    capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2), F.length(word)))
+    cased = F.when((F.length(core) > 1) & (core == F.upper(core)) & (core != F.lower(core)), F.upper(word)).when(first != F.lower(first), capital).otherwise(word)
+    return F.concat(lead, cased, trail)
 
 
 def repaired_paragraphs(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``page_id, region_ord, text``: every region as one paragraph of whole words, in order."""
-    fixed = repairs(words, lexicon)
-    rows = require(words, "page_id", "region_ord", "line_ord", "word_ord", "word_id", "text").dropDuplicates(["word_id"])
-    shown = rows.join(fixed, "word_id", "left")
-    marks = F.regexp_extract("text", r"([.,;:!?()]*)$", 1)
-    cased = F.when(F.substring("text", 1, 1) != F.lower(F.substring("text", 1, 1)), F.initcap("repaired")).otherwise(F.col("repaired"))
-    text = F.when(F.col("noise").isNull(), F.col("text")).when(F.col("noise") == "misread", F.concat(cased, marks)).otherwise(F.col("repaired"))
-    kept = shown.withColumn("shown", text).where("shown is not null")
-    ordered = F.array_sort(F.collect_list(F.struct("line_ord", "word_ord", "word_id", "shown")))
-    return kept.groupBy("page_id", "region_ord").agg(ordered.alias("w")).select("page_id", "region_ord", F.array_join(F.transform("w", lambda x: x["shown"]), " ").alias("text"))
+    """``page_id, region_ord, text``: every region as one paragraph of whole words, in order.
+
+    Words and their repairs meet where they stand: one shuffle by region, in which a word's repair sorts right
+    before it. Words without an id stand as they are; a word delivered twice stands once.
+    """
+    fixed = placed_repairs(words, lexicon)
+    rows = require(words, "page_id", "region_ord", "line_ord", "word_ord", "word_id", "text")
+    none = F.lit(None)
+    shown = rows.select("page_id", "region_ord", F.struct("word_id", F.lit(True).alias("is_word"), "line_ord", "word_ord", "text", none.cast("string").alias("noise")).alias("w"))
+    fix = F.struct("word_id", F.lit(False).alias("is_word"), none.cast("int").alias("line_ord"), none.cast("int").alias("word_ord"), F.col("repaired").alias("text"), "noise")
+    fixes = fixed.select("page_id", F.when(F.col("region_ord") >= 0, F.col("region_ord")).alias("region_ord"), fix.alias("w"))
+    together = shown.unionByName(fixes).groupBy("page_id", "region_ord").agg(F.array_sort(F.collect_set("w")).alias("w"))
+
+    def repaired(x, i):
+        before = F.when(i > 0, F.get(F.col("w"), i - 1))
+        same = F.coalesce(before["word_id"] == x["word_id"], F.lit(False))
+        fixed_text = F.when(before["noise"] == "misread", like_text(x["text"], before["text"])).otherwise(before["text"])
+        text = F.when(same & ~before["is_word"], fixed_text).otherwise(x["text"])
+        shown = F.when(x["is_word"] & ~(same & before["is_word"]), text)
+        return F.struct(x["line_ord"].alias("line_ord"), x["word_ord"].alias("word_ord"), x["word_id"].alias("word_id"), shown.alias("shown"))
+
+    kept = F.array_sort(F.filter(F.transform("w", repaired), lambda x: x["shown"].isNotNull()))
+    return together.select("page_id", "region_ord", kept.alias("w")).where(F.size("w") > 0).select("page_id", "region_ord", F.array_join(F.transform("w", lambda x: x["shown"]), " ").alias("text"))

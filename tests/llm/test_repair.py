@@ -96,11 +96,11 @@ def test_odd_tables(spark):
     assert no_words == []
 
 
-def test_a_huge_page_in_blocks_of_lines(spark):
+def test_a_huge_page_in_parts(spark):
     lines = ["der alte Müh-", "lenwerk steht"] * 40
     words = book(spark, [[lines]])
     listed = spark.sparkContext.broadcast([(w, n) for w, n in LEX])
-    steps = repair.read_pages(words, listed, block_lines=10)
+    steps = repair.read_pages(words, listed, max_held=10)
     assert steps.where(f"kind = {repair.REPAIR}").count() == 80
 
 
@@ -152,3 +152,62 @@ def test_word_list_bound(spark):
 
     with pytest.raises(TooLarge):
         repair.repairs(book(spark, [[["der"]]]), lexicon(spark), limit=3)
+
+
+def _headed(pages, header):
+    return [[[header(p)], ["der alte Turm steht hier", "und das Haus"]] for p in range(1, pages + 1)]
+
+
+def test_many_chapter_headers_in_a_long_book(spark):
+    """30 chapters: each has its own header, on 6 pages of 180 or 66 of 1,980 alike."""
+    names = [f"{a}{b}tal" for a in ("Morgen", "Abend", "Winter", "Sommer", "Herbst") for b in ("berg", "fluß", "wald", "stein", "burg", "markt")]
+    for length in (6, 66):
+        words = book(spark, _headed(30 * length, lambda p, n=length: names[(p - 1) // n]))
+        got = repair.repairs(words, lexicon(spark)).where("noise = 'furniture'").count()
+        assert got == 30 * length - 1  # the first page carries the title
+
+
+def test_headers_far_apart_are_headings(spark):
+    pages = _headed(60, lambda p: "Zweiter Teil" if p in (10, 40) else f"der Turm {chr(97 + p // 8) * 4}{chr(110 + p % 8) * 5}")
+    got = repair.repairs(book(spark, pages), lexicon(spark)).where("noise = 'furniture'").collect()
+    assert got == []
+
+
+def test_two_numberings_of_one_book(spark):
+    roman = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii")
+    pages = [[["der alte Turm", "steht hier"], [roman[p]]] for p in range(8)] + [[["das alte Haus", "steht hier"], [str(p)]] for p in range(1, 13)]
+    got = repair.repairs(book(spark, pages), lexicon(spark)).where("noise = 'furniture'").count()
+    assert got == 20
+
+
+def test_a_page_in_parts_is_read_as_one(spark):
+    """Parts of every size give what the whole page gives: divided words, foot number and page-end break."""
+    pages = [[["der alte Müh-", "lenwerk steht hier", "Dcr Turm und Müh⸗", "lenwerk", "das Haus un-"], ["(12)"]], [["Der Turm"], ["ter dem Haus sehr Müh-"], ["lenwerk steht"], ["(13)"]]]
+    words = book(spark, pages).repartition(3).cache()
+    whole = sorted(map(tuple, repair.placed_repairs(words, lexicon(spark)).collect()))
+    assert sum(r[3] == "break" for r in whole) == 8 and sum(r[3] == "furniture" for r in whole) == 2
+    for held in (1, 2, 3, 5, 8):
+        for partitions in ("1", "3"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(held))
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            try:
+                assert sorted(map(tuple, repair.placed_repairs(words, lexicon(spark), max_held=held + 3).collect())) == whole
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+                spark.conf.unset("spark.sql.adaptive.enabled")
+                spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_marks_and_capitals_stay(spark):
+    words = book(spark, [[["(Holzwcg) der Turrn, die ZEIT; dcr Müh-", "lcnwerk."]]])
+    lex = lexicon(spark)
+    got = repair.repaired_paragraphs(words, lex).collect()
+    assert [r["text"] for r in got] == ["(Holzweg) der Turm, die ZEIT; der Mühlenwerk."]
+
+
+def test_words_without_an_id_stay_in_the_text(spark):
+    from pyspark.sql import functions as F
+
+    words = book(spark, [[["das alte Haus"]]]).withColumn("word_id", F.lit(None).cast("bigint"))
+    assert [r["text"] for r in repair.repaired_paragraphs(words, lexicon(spark)).collect()] == ["das alte Haus"]
