@@ -147,11 +147,35 @@ def test_long_regions_only(spark):
 def test_blocks_of_a_huge_item_keep_all_words(spark):
     words = [f"w{i}." for i in range(400)]
     df = region(spark, words)
-    got = pieces.cut_items(df, ["page_id", "region_ord"], 100, 20, block_lines=16).orderBy("block", "piece").collect()
+    got = pieces.cut_items(df, ["page_id", "region_ord"], 100, 20, giant_chars=300).orderBy("block", "piece").collect()
     seen = [w for r in got for w in r["text"].split()[r["overlap_words"] :]]
     assert [w for w in dict.fromkeys(seen)] == words and all(len(r["text"]) <= 100 for r in got)
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+@pytest.mark.parametrize("lines_of", [7, 100_000])
+def test_a_giant_item_is_cut_in_stretches_like_any_other(spark, partitions, lines_of):
+    """Over stretches of any length, on many lines or one: no word lost, limit kept, overlaps as long as fit."""
+    rng = random.Random(partitions)
+    words = [rng.choice(["der", "Turm,", "steht.", "Mühlenwerk", "a", "und", "b c"]) + str(i) for i in range(900)]
+    df = region(spark, words, lines_of=lines_of).union(region(spark, ["kurz", "x" * 250, "lang"], "q")).union(region(spark, ["y" * 1300], "r"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = pieces.split_items(df, ["page_id", "region_ord"], 100, 20, giant_chars=600).collect()
+        joined = {r["page_id"]: r["text"] for r in pieces.rejoined(spark.createDataFrame(got), ["page_id", "region_ord"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert joined == {"p": " ".join(words), "q": f"kurz {'x' * 250} lang", "r": "y" * 1300}
+    mine = sorted((r for r in got if r["page_id"] == "p"), key=lambda r: (r["block"], r["piece"]))
+    assert len({(r["block"], r["piece"]) for r in mine}) == len(mine) and max(len(r["text"]) for r in got) <= 100
+    done = 0
+    for r in mine:
+        assert r["overlap_words"] == (overlap_of(words, done, 20) if done else 0)
+        done = r["last_word"] + 1
+
+
 # --- containers ---
 
 
