@@ -12,7 +12,7 @@ import math
 import unicodedata
 from collections import defaultdict
 
-from leafwright.llm.looks import LIGATURES, MARKS, letter_map
+from leafwright.llm.looks import MARKS, letter_map, long_forms
 
 #: Signs that divide a word at a line end, as printed or as recognised.
 DIVIDERS = "-⸗‐‑¬=~"
@@ -22,7 +22,7 @@ JOINERS = frozenset(("und", "oder", "u", "od", "bzw", "sowie", "bis", "noch", "a
 
 def _plain_table() -> dict[int, str | None]:
     table: dict[int, str | None] = {ord(a): b for a, b in letter_map().items()}
-    table |= {ord(a): b for a, b in LIGATURES.items()}
+    table |= {ord(a): b for a, b in long_forms().items()}
     for code in (*range(0x11000), *range(0xE0000, 0xE1000)):
         if unicodedata.category(chr(code)) in ("Cf", "Cc", "Zs", "Zl", "Zp"):
             table[code] = None

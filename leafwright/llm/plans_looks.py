@@ -19,8 +19,14 @@ def p3_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.with_plain_text(words, "text", ("word_id",)).select("word_id", F.col("plain").alias("text"))
 
 
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its consistent spelling, blanks and line ends kept as one each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return looks.with_plain_text(docs, "text", ("doc_id",), blank=True).select("doc_id", F.col("plain").alias("text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_plain)}
+    return {f.__name__: f for f in (p3_found, p3_plain, p3_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -30,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT word_id, {looks.core_sql(plain)} AS a, {looks.core_sql('text')} AS b FROM w)
             SELECT DISTINCT word_id, lex_id FROM c JOIN lexicon ON a = lower(word) WHERE a <> b""",
         "p3_plain": f"SELECT word_id, {plain} AS text FROM (SELECT DISTINCT word_id, text FROM words)",
+        "p3_texts": f"SELECT doc_id, {looks.plain_sql('text', blank=True)} AS text FROM documents",
     }

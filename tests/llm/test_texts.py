@@ -70,7 +70,7 @@ def test_python_and_sql_spell_alike(spark):
     from leafwright.llm.channel import plain
 
     rng = random.Random(5)
-    letters = [*looks.letter_map(), *looks.LIGATURES, *"aäzß.,-̈\u200b\xa0\u2060 é1"]
+    letters = [*looks.letter_map(), *looks.long_forms(), *"aäzß.,-̈\u200b\xa0\u2060 é1"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 9))) for _ in range(800)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     assert all(r["plain"] == plain(texts[r["i"]]) for r in looks.with_plain_text(df, "text", ("i",)).collect())
@@ -311,3 +311,29 @@ def test_chunks_of_a_very_long_text_find_the_same(monkeypatch):
     monkeypatch.setattr(spans, "CHUNK_CHARS", 600)
     at, digest = spans._long_anchors(codes, 20, 21, spans.Hasher())
     assert set(zip(whole[0].tolist(), whole[1].tolist(), strict=True)) <= set(zip(at.tolist(), digest.tolist(), strict=True))
+
+
+# Texts and the spelling they must come out in, written down by hand, not taken from the operator's tables.
+SPELLED = [
+    ("Ｓｏｂａｌｄ　ｄｅｒ", "Sobald der"), ("Gren​z­scheune", "Grenzscheune"), ("ſo ﬁel der ﬅurm", "so fiel der sturm"), ("Mühle", "Mühle"),
+    ("im Ⅳ. Jahr, №7", "im IV. Jahr, No7"), ("der  Turm", "der Turm"), ("eins\r\n  zwei drei", "eins\nzwei\ndrei"), ("Βrücke und Наus", "Brücke und Haus"),
+    ("𝐓𝐮𝐫𝐦 ⑩", "Turm 10"), ("plain text, 1832.", "plain text, 1832."), ("", ""), (None, None), (" \t ", " "), ("a\x00b﻿", "ab"), ("Straβe", "Straße"),
+]
+
+
+def test_running_text_keeps_its_blanks_and_line_ends(spark):
+    df = spark.createDataFrame([(i, t, 1) for i, (t, _) in enumerate(SPELLED)], "i int, text string, plain int")
+    got = {r["i"]: r["plain"] for r in looks.with_plain_text(df, "text", ("i",), blank=True).collect()}
+    assert [got[i] for i in range(len(SPELLED))] == [want for _, want in SPELLED]
+    words = {r["i"]: r["plain"] for r in looks.with_plain_text(df, "text", ("i",)).collect()}
+    assert [words[i] for i in range(len(SPELLED))] == [want and want.replace(" ", "").replace("\n", "") for _, want in SPELLED]
+    assert looks.with_plain_text(df.where("1 = 0"), "text", ("i",), blank=True).count() == 0
+
+
+def test_plain_texts_are_their_own_spelling():
+    import duckdb
+
+    con, letters = duckdb.connect(), [c for c in map(chr, range(0x20, 0x180)) if __import__("re").match(rf"[{looks.PLAIN}]", c)]
+    assert len(letters) > 80
+    got = con.execute(f"SELECT {looks.plain_sql('t')}, {looks.plain_sql('t', blank=True)} FROM (SELECT ?::VARCHAR AS t)", ["".join(letters)]).fetchone()
+    assert got == ("".join(letters), "".join(letters))
