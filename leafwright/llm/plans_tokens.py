@@ -28,6 +28,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.pack(_sizes(spark, sf_dir), CAPACITY), CAPACITY)
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and whether it stands in the containers whole and once, with no container over capacity."""
+    sizes = _sizes(spark, sf_dir)
+    return packing.kept_items(packing.pack(sizes, CAPACITY), sizes, CAPACITY).withColumnRenamed("item", "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = mixing.reach_report(_by_source(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
     return report.where("falls_short").select("source")
@@ -47,8 +53,8 @@ def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found, p7_fill, p8_found, p8_shares, p8_tempered)}
+    return {f.__name__: f for f in (p7_found, p7_fill, p7_kept, p8_found, p8_shares, p8_tempered)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_kept": "SELECT doc_id, true AS kept FROM documents"}

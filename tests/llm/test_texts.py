@@ -183,7 +183,7 @@ def test_packing_keeps_every_item_and_the_capacity(spark):
     rng = random.Random(2)
     sizes = [rng.choice([rng.randint(1, 900), rng.randint(1, 100), 4096]) for _ in range(3000)] + [0, 9000, 8192, None]
     df = spark.createDataFrame([(i, s, 1) for i, s in enumerate(sizes)] + [(None, 5, 1)], "item bigint, size bigint, bin_no int")
-    placed = packing.pack(df, 4096, island_items=256).collect()
+    placed = packing.pack(df, 4096, group_items=256).collect()
     assert [r["size"] for r in placed if r["item"] == -1] == [5]
     loads, seen = {}, {}
     for r in placed:
@@ -337,3 +337,38 @@ def test_plain_texts_are_their_own_spelling():
     assert len(letters) > 80
     got = con.execute(f"SELECT {looks.plain_sql('t')}, {looks.plain_sql('t', blank=True)} FROM (SELECT ?::VARCHAR AS t)", ["".join(letters)]).fetchone()
     assert got == ("".join(letters), "".join(letters))
+
+
+def triplets(rng, n):
+    """Sizes that fill n containers of 1,000 exactly, three each: best fit needs about a tenth more."""
+    out = []
+    for _ in range(n):
+        a, b = rng.randint(380, 490), rng.randint(250, 300)
+        out += [a, b, 1000 - a - b]
+    return rng.sample(out, len(out))
+
+
+def test_evolution_beats_best_fit():
+    for seed, n in ((1, 20), (2, 40)):
+        sizes = triplets(random.Random(seed), n)
+        assert len(packing.evolve(sizes, 1000, seed)) < len(packing.first_packing(sizes, 1000))
+
+
+def test_islands_hand_on_their_elites(spark):
+    """Hard groups evolve on islands; in the next epoch each starts from its neighbour's best as well."""
+    sizes = triplets(random.Random(4), 40)
+    df = spark.createDataFrame([(7 if i < 5 else i, s) for i, s in enumerate(sizes)] + [(7, sizes[0])], "item bigint, size bigint")  # repeated ids
+    best_fit = len(packing.first_packing([*sizes, sizes[0]], 1000))
+    placed = packing.pack(df, 1000, group_items=200).collect()
+    assert len(placed) == len(sizes) + 1 and len({(r["epoch"], r["island"], r["bin_no"]) for r in placed}) < best_fit
+    rows = [(0, i, n, n, 0, 10, False, (n + i) % 2, -1) for i in range(3) for n in range(4)]
+    moved = packing.migrated(spark.createDataFrame(rows, packing.ITEM), 3).collect()
+    assert len(moved) == 12 and all(r["guest_bin"] == (r["row"] + (r["island"] - 1) % 3) % 2 for r in moved)
+
+
+def test_items_that_do_not_stand_whole_are_told(spark):
+    sizes = spark.createDataFrame([(1, 10), (2, 5000), (3, None)], "item bigint, size bigint")
+    placed = packing.pack(sizes)
+    assert {r["item"]: r["kept"] for r in packing.kept_items(placed, sizes).collect()} == {1: True, 2: True, 3: True}
+    assert {r["item"]: r["kept"] for r in packing.kept_items(placed.where("part = 0"), sizes).collect()} == {1: True, 2: False, 3: True}
+    assert not any(r["kept"] for r in packing.kept_items(placed, sizes, 4000).collect())
