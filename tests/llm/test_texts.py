@@ -372,3 +372,21 @@ def test_items_that_do_not_stand_whole_are_told(spark):
     assert {r["item"]: r["kept"] for r in packing.kept_items(placed, sizes).collect()} == {1: True, 2: True, 3: True}
     assert {r["item"]: r["kept"] for r in packing.kept_items(placed.where("part = 0"), sizes).collect()} == {1: True, 2: False, 3: True}
     assert not any(r["kept"] for r in packing.kept_items(placed, sizes, 4000).collect())
+
+
+def test_a_text_too_long_for_the_rest_is_passed_over(spark):
+    rows = [(i, "a", n) for i, n in enumerate([900, *[10] * 40])] + [(100 + i, "b", 10) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.195, 3), ("b", 0.7, 2), ("c", 0.105, 1)], "source string, target_share double, max_repeats int")
+    plan = mixing.mixture_plan(docs, targets)
+    got = {r["source"]: r for r in mixing.share_report(mixing.mixed(docs, plan), plan).collect()}
+    assert got["a"]["tokens"] == 390 and got["b"]["tokens"] == 1400 and got["c"]["tokens"] == 0
+    assert {k: r["falls_short"] for k, r in got.items()} == {"a": False, "b": False, "c": True}
+
+
+def test_exponents_beyond_one_and_caps_that_cannot_be_kept():
+    sizes = [1000.0, 100.0, 10.0]
+    wanted = mixing.entropy(mixing.tempered(sizes, 2.5))
+    alpha = mixing.fitted_exponent(sizes, [9.0] * 3, 1110.0, wanted)
+    assert alpha == pytest.approx(2.5) and mixing.within_caps(alpha, sizes, [9.0] * 3, 1110.0)
+    assert not mixing.within_caps(mixing.fitted_exponent(sizes, [0.5] * 3, 1110.0, 9.0), sizes, [0.5] * 3, 1110.0)
