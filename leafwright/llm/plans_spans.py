@@ -21,8 +21,13 @@ def p9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"), earlier_only=True)
 
 
+def p9_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without what an earlier one already has, in pieces at their original offsets."""
+    return spans.remaining(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p9_found, p9_shared, p9_repeats)}
+    return {f.__name__: f for f in (p9_found, p9_shared, p9_repeats, p9_remaining)}
 
 
 WINDOWS = """g AS (SELECT doc_id, unnest(range(1, length(text) - 198)) AS i, text FROM documents WHERE length(text) >= 200),
@@ -46,4 +51,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, coalesce(length(d.text), 0)::BIGINT AS text_chars, coalesce(t.c, 0) AS shared_chars, coalesce(t.n, 0) AS n_spans,
             CASE WHEN length(d.text) > 0 THEN coalesce(t.c, 0)::DOUBLE / length(d.text) ELSE 0.0::DOUBLE END AS shared_share FROM documents d LEFT JOIN t USING (doc_id)""",
         "p9_repeats": f'WITH {WINDOWS}, {_covered("m.lo < k.doc_id")} SELECT doc_id, "start", "end" FROM spans',
+        "p9_remaining": f"""WITH {WINDOWS}, {_covered("m.lo < k.doc_id")},
+            b AS (SELECT doc_id, "start" AS s, "end" AS e FROM spans UNION ALL SELECT doc_id, length(text), length(text) FROM documents WHERE text IS NOT NULL),
+            gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 0) AS "start", s AS "end" FROM b)
+            SELECT doc_id, "start", "end", substr(text, "start" + 1, "end" - "start") AS text FROM gaps JOIN documents USING (doc_id) WHERE "start" < "end\"""",
     }

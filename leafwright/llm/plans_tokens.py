@@ -35,26 +35,27 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.kept_items(packing.pack(sizes, CAPACITY), sizes, CAPACITY).withColumnRenamed("item", "doc_id")
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = _by_source(spark, sf_dir)
-    plan = mixing.mixture_plan(counted, table(spark, sf_dir, "mix_targets"))
+def _mixture(counted: DataFrame, sf_dir: str) -> DataFrame:
+    plan = mixing.mixture_plan(counted, table(counted.sparkSession, sf_dir, "mix_targets"))
     return mixing.share_report(mixing.mixed(counted, plan), plan)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that are used up in the mixture and still have fewer tokens than their share."""
-    return _mixture(spark, sf_dir).where("falls_short").select("source")
+    return _mixture(_by_source(spark, sf_dir), sf_dir).where("falls_short").select("source")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture(spark, sf_dir)
+    return _mixture(_by_source(spark, sf_dir), sf_dir)
 
 
 def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every target source, and whether the mixture keeps its cap and comes within a hundredth of its share, if it can."""
-    met = F.col("falls_short") | (F.col("tokens") >= 0.99 * F.col("wanted"))
-    targets = table(spark, sf_dir, "mix_targets").select("source", "max_repeats")
-    rows = _mixture(spark, sf_dir).join(F.broadcast(targets), "source")
+    """Every target source, and whether the mixture keeps its cap and meets its share to one text, if it can."""
+    counted = _by_source(spark, sf_dir)
+    longest = counted.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    targets = table(spark, sf_dir, "mix_targets").select("source", "max_repeats").join(longest, "source", "left")
+    rows = _mixture(counted, sf_dir).join(targets, "source")
+    met = F.col("falls_short") | (F.col("wanted") - F.col("tokens") < F.col("longest"))
     return rows.select("source", (met & (F.col("tokens") <= F.col("wanted")) & (F.col("most_repeats") <= F.col("max_repeats"))).alias("kept"))
 
 

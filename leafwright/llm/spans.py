@@ -10,7 +10,9 @@ missed. Units are compared as they stand, since spans must be verbatim.
 
 A digest in more than one record is then checked against the text: each such place is read again
 with ``min_chars / 2`` characters on both sides, equal surroundings form one class, and only
-classes, not records, are compared with one another. A group of copies is one class.
+classes, not records, are compared with one another. A group of copies is one class. A digest of more than
+``HOT`` classes (a formula that stands in many different texts) is not compared pair by pair: every class
+gives the digests of all its windows of ``min_chars`` characters, and equal windows are grouped.
 
 Defined cases: null and short texts, and texts without an id, have no units; of long runs of one repeated pattern one unit
 a window and the last are kept (enough for any span that touches the run); spans shared only inside one record
@@ -19,12 +21,13 @@ do not count; further columns are ignored; an empty table gives empty results.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.storage import require, written
@@ -32,6 +35,8 @@ from leafwright.storage import require, written
 BASE = 0x9E3779B97F4A7C15
 GRAM = 16
 CHUNK_CHARS = 1 << 21
+#: Classes of one digest up to which they are compared with one another.
+HOT = 32
 
 
 def _inverse(b: int) -> int:
@@ -210,31 +215,63 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], unit: int, min_chars: in
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["digest", "kind_a", "kind_b", "before", "after"])
 
 
-def matched_kinds(where: DataFrame, min_chars: int = 200) -> DataFrame:
+class Classes:
+    """The classes of places: ``few`` to be compared with one another, ``many`` (or None) to be grouped by windows."""
+
+    def __init__(self, where: DataFrame, hot: int) -> None:
+        kinds = where.select("digest", "kind", "before", "context").distinct()
+        crowded = written(kinds.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("digest"), "crowded")
+        self.few, self.many = kinds, None
+        if crowded.limit(1).count():
+            self.few, self.many = kinds.join(crowded, "digest", "left_anti"), kinds.join(crowded, "digest", "left_semi")
+
+
+def matched_kinds(kinds: DataFrame, min_chars: int = 200) -> DataFrame:
     """Classes of places that share ``min_chars`` characters around their unit, a class with itself too.
 
     ``before`` and ``after`` are the characters shared on either side of the unit, at most
     ``min_chars / 2`` each; neighbouring units carry a longer span further.
     """
     unit = max(1, min_chars // 2)
-    kinds = where.select("digest", "kind", "before", "context").distinct()
     other = kinds.select("digest", *[F.col(c).alias(f"{c}_b") for c in ("kind", "before", "context")])
     pairs = kinds.join(other, "digest").where("kind <= kind_b").select("digest", "kind", "kind_b", "before", "before_b", "context", "context_b")
     return pairs.mapInArrow(partial(_compare_batches, unit=unit, min_chars=min_chars), "digest bigint, kind_a bigint, kind_b bigint, before int, after int")
 
 
-def shared_pairs(docs: DataFrame, min_chars: int = 200) -> DataFrame:
+def _window_batches(batches: Iterator[pa.RecordBatch], unit: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for digest, kind, before, context in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for shift in range(max(0, min_chars - (len(context) - before)), min(before, min_chars - unit) + 1):
+                text = context[before - shift : before - shift + min_chars]
+                window = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                for column, value in zip(out, (digest, kind, shift, window), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["digest", "kind", "before", "window"])
+
+
+def windows(kinds: DataFrame, min_chars: int = 200) -> DataFrame:
+    """``digest, kind, before, window``: every window of ``min_chars`` characters around the unit of a class."""
+    fn = partial(_window_batches, unit=max(1, min_chars // 2), min_chars=min_chars)
+    return kinds.select("digest", "kind", "before", "context").mapInArrow(fn, "digest bigint, kind bigint, before int, window binary")
+
+
+def shared_pairs(docs: DataFrame, min_chars: int = 200, hot: int = HOT) -> DataFrame:
     """Pairs of records (the smaller id first) that share a verbatim span of ``min_chars`` or more."""
     where = written(places(docs, min_chars), "places")
-    kinds = matched_kinds(where, min_chars)
+    classes = Classes(where, hot)
     members = where.select("digest", "kind", "doc_id").distinct()
     a = members.withColumnsRenamed({"kind": "kind_a", "doc_id": "x"})
     b = members.withColumnsRenamed({"kind": "kind_b", "doc_id": "y"})
-    both = kinds.select("digest", "kind_a", "kind_b").join(a, ["digest", "kind_a"]).join(b, ["digest", "kind_b"]).where("x <> y")
-    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+    kinds = matched_kinds(classes.few, min_chars)
+    both = kinds.select("digest", "kind_a", "kind_b").join(a, ["digest", "kind_a"]).join(b, ["digest", "kind_b"]).select("x", "y")
+    if classes.many is not None:
+        held = written(windows(classes.many, min_chars).join(members, ["digest", "kind"]).select("window", "doc_id").distinct(), "windows")
+        both = both.unionByName(held.withColumnRenamed("doc_id", "x").join(held.withColumnRenamed("doc_id", "y"), "window").where("x < y").select("x", "y"))
+    return both.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
-def shared_spans(docs: DataFrame, min_chars: int = 200, earlier_only: bool = False) -> DataFrame:
+def shared_spans(docs: DataFrame, min_chars: int = 200, earlier_only: bool = False, hot: int = HOT) -> DataFrame:
     """``doc_id, start, end`` of the maximal shared stretches of every record (end exclusive).
 
     With ``earlier_only`` just those that already stand in a record of smaller id: removing them keeps
@@ -242,30 +279,45 @@ def shared_spans(docs: DataFrame, min_chars: int = 200, earlier_only: bool = Fal
     """
     unit = max(1, min_chars // 2)
     where = written(places(docs, min_chars), "places")
-    kinds = matched_kinds(where, min_chars)
+    classes = Classes(where, hot)
+    held = where.groupBy("digest", "kind").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    kinds = matched_kinds(classes.few, min_chars)
     one = kinds.select("digest", F.col("kind_a").alias("kind"), F.col("kind_b").alias("partner"), "before", "after")
     two = kinds.where("kind_a <> kind_b").select("digest", F.col("kind_b").alias("kind"), F.col("kind_a").alias("partner"), "before", "after")
-    held = where.groupBy("digest", "kind").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    partners = one.unionByName(two).join(held.withColumnRenamed("kind", "partner"), ["digest", "partner"])
+    partners = one.unionByName(two).join(held.withColumnRenamed("kind", "partner"), ["digest", "partner"]).drop("partner")
+    if classes.many is not None:
+        cut = written(windows(classes.many, min_chars).join(held, ["digest", "kind"]), "windows")
+        shared = cut.groupBy("window").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
+        grouped = cut.join(shared, "window").select("digest", "kind", "before", (F.lit(min_chars - unit) - F.col("before")).alias("after"), F.col("lo").alias("first"), F.col("hi").alias("last"))
+        partners = partners.unionByName(grouped)
     near = where.select("digest", "kind", "doc_id", "pos").join(partners, ["digest", "kind"])
     near = near.where("first < doc_id") if earlier_only else near.where("first <> doc_id or last <> doc_id")
     reach = near.groupBy("doc_id", "pos").agg(F.max("before").alias("l"), F.max("after").alias("r"))
-    pieces = reach.select("doc_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + unit + F.col("r")).alias("end"))
-    merged = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("p"))
-    return merged.select("doc_id", F.inline(_union("p"))).select("doc_id", "start", "end")
+    return _joined(reach.select("doc_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + unit + F.col("r")).alias("end")))
+
 
+def _joined(pieces: DataFrame) -> DataFrame:
+    """Intervals of a record with overlapping or touching ones made one."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = pieces.withColumn("fresh", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    numbered = fresh.withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
 
-def _union(column: str):
-    """Sorted intervals with overlapping or touching ones made one."""
-    last = lambda acc: F.element_at(acc, -1)
-    start = F.slice(F.col(column), 1, 1)
-    rest = F.slice(F.col(column), 2, F.greatest(F.size(column) - 1, F.lit(0)))
 
-    def step(acc, x):
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))))
-        return F.when(x["start"] <= last(acc)["end"], joined).otherwise(F.concat(acc, F.array(x)))
+def remaining(docs: DataFrame, min_chars: int = 200) -> DataFrame:
+    """``doc_id, start, end, text``: what is left of every record when spans that an earlier one has are taken out.
 
-    return F.aggregate(rest, start, step)
+    Offsets are those of the original text; a record without text, or of repeats only, has no row.
+    """
+    gone = shared_spans(docs, min_chars, earlier_only=True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    texts = require(docs, "doc_id", "text").where("text is not null").join(gone, "doc_id", "left")
+    bounds = F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce(F.transform("gone", lambda x: x["end"]), F.array().cast("array<bigint>")))
+    ends = F.concat(F.coalesce(F.transform("gone", lambda x: x["start"]), F.array().cast("array<bigint>")), F.array(F.length("text").cast("bigint")))
+    kept = F.filter(F.arrays_zip(bounds.alias("start"), ends.alias("end")), lambda x: x["start"] < x["end"])
+    pieces = texts.select("doc_id", "text", F.explode(kept).alias("p"))
+    part = F.substr("text", (F.col("p.start") + 1).cast("int"), (F.col("p.end") - F.col("p.start")).cast("int"))
+    return pieces.select("doc_id", F.col("p.start").alias("start"), F.col("p.end").alias("end"), part.alias("text"))
 
 
 def shared_share(docs: DataFrame, min_chars: int = 200) -> DataFrame:

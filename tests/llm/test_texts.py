@@ -390,3 +390,26 @@ def test_exponents_beyond_one_and_caps_that_cannot_be_kept():
     alpha = mixing.fitted_exponent(sizes, [9.0] * 3, 1110.0, wanted)
     assert alpha == pytest.approx(2.5) and mixing.within_caps(alpha, sizes, [9.0] * 3, 1110.0)
     assert not mixing.within_caps(mixing.fitted_exponent(sizes, [0.5] * 3, 1110.0, 9.0), sizes, [0.5] * 3, 1110.0)
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_crowded_digests_are_grouped_by_windows(spark, hot):
+    """A formula in many surroundings: grouping windows gives what comparing all pairs gives."""
+    rng = random.Random(11)
+    formula = "".join(rng.choices("abcdefgh", k=14))
+    endings = ["".join(rng.choices("abcdefgh", k=12)) for _ in range(5)]
+    texts = {d: "".join(rng.choices("abcdefgh", k=rng.randint(0, 12))) + rng.choice(endings)[6:] + formula + rng.choice(endings)[: rng.randint(0, 12)] + "".join(rng.choices("abcdefgh", k=5)) for d in range(60)}
+    pairs, covered = brute(texts, 20)
+    docs = documents(spark, texts)
+    assert {tuple(r) for r in spans.shared_pairs(docs, 20, hot=hot).collect()} == pairs and pairs
+    for earlier in (False, True):
+        got, want = ({tuple(r) for r in spans.shared_spans(docs, 20, earlier, hot=h).collect()} for h in (hot, 10_000))
+        assert got == want
+    assert sum(r["end"] - r["start"] for r in spans.shared_spans(docs, 20, hot=hot).collect()) == sum(map(len, covered.values()))
+
+
+def test_what_remains_keeps_its_offsets(spark):
+    passage = "".join(random.Random(1).choices("abcdefgh", k=60))
+    texts = {5: "xx" + passage, 2: passage + "yy", 9: "zz" + passage + "ww", 11: passage, 12: None, 13: ""}
+    got = {tuple(r) for r in spans.remaining(documents(spark, texts), 40).collect()}
+    assert got == {(2, 0, 62, passage + "yy"), (5, 0, 2, "xx"), (9, 0, 2, "zz"), (9, 62, 64, "ww")}
