@@ -1,10 +1,13 @@
 """Too many small files: size-tiered incremental compaction with a transaction journal.
 
-Level by level: files not yet in the journal are read, their records taken apart, each record kept
-once, and written as runs of about ``target_bytes``; whenever a level holds ``fanout`` runs, these are
-merged into the next level. Each merge is a transaction named by a digest of its inputs. A transaction
-writes its output folder first and its journal entry last, so a run that was interrupted is repeated
-as a whole and a run that was finished is skipped: no record is lost or doubled by running again.
+Files not yet in the journal are read, their records taken apart, each record kept once, and written as a
+run (a folder of files of about ``target_bytes``). Runs are tiered by their bytes, a tier reaching from a power
+of ``fanout`` to the next; whenever a tier below ``target_bytes`` holds ``fanout`` runs, these are merged into
+one, which falls into a higher tier: only runs of similar size are ever merged, and a run of full files is never
+written again. Each merge is a transaction named by a digest of its inputs. A transaction writes its
+output folder first and its journal entry last, so a run that was interrupted is repeated as a whole and
+a run that was finished is skipped: no record is lost or doubled by running again. Each load also keeps
+which file each record came from (``origins``), the copies that were left out included.
 
 Nothing about single records or files reaches the driver; it sees one row per run (bounded by
 ``total bytes / target_bytes``) and per transaction.
@@ -130,12 +133,32 @@ def _commit(spark: SparkSession, folder: str, txn: str, level: int, n_inputs: in
     spark.createDataFrame(entry, JOURNAL).coalesce(1).write.mode("append").json(f"{folder}/journal")
 
 
+def byte_tier(size: int, fanout: int) -> int:
+    """The tier of a run: the largest t with fanout ** t <= size (0 for an empty one)."""
+    tier = 0
+    while size >= fanout ** (tier + 1):
+        tier += 1
+    return tier
+
+
+def next_merge(runs: list, fanout: int, target_bytes: int) -> list:
+    """The runs to merge next: those of the lowest tier that holds ``fanout`` runs or more; none if no tier does."""
+    tiers: dict[int, list] = {}
+    for run in runs:
+        if run["bytes"] < target_bytes:
+            tiers.setdefault(byte_tier(run["bytes"], fanout), []).append(run)
+    crowded = sorted(t for t, held in tiers.items() if len(held) >= fanout)
+    return tiers[crowded[0]] if crowded else []
+
+
 def compact(files: DataFrame, folder: str, target_bytes: int = 128 << 20, fanout: int = 4) -> DataFrame:
     """Bring the files of ``files`` that are new into the store below ``folder``; returns its journal.
 
-    ``files`` has ``file_id`` and ``body``. A new file's records enter level 0 unless the store has
-    them; then every level with ``fanout`` runs or more is merged into one run of the next level.
+    ``files`` has ``file_id`` and ``body``. A new file's records make a run of level 0 unless the store has
+    them; then runs of a tier are merged as long as a tier holds ``fanout`` runs or more.
     """
+    if fanout < 2:
+        raise ValueError("a merge takes two runs at least")
     spark = files.sparkSession
     fresh = _each_once(require(files, "file_id", "body"), "file_id")
     seen = _seen_files(spark, folder)
@@ -144,30 +167,38 @@ def compact(files: DataFrame, folder: str, target_bytes: int = 128 << 20, fanout
     digest = fresh.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("file_id").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
     if digest["n"]:
         txn = hashlib.blake2b(f"0:{digest['n']}:{digest['h']}".encode(), digest_size=12).hexdigest()
-        records = distinct_records(file_records(fresh))
-        for run in live_runs(spark, folder):
-            records = records.join(spark.read.parquet(run["output"]).select("digest"), "digest", "left_anti")
+        parsed = written(fresh.mapInArrow(_parse_batches, RECORD), "parsed")
+        records = distinct_records(parsed)
+        runs = [r["output"] for r in live_runs(spark, folder)]
+        if runs:
+            records = records.join(spark.read.parquet(*runs).select("digest"), "digest", "left_anti")
         rows = written(records.select("file_id", "ord", "filename", "html", "digest"), "compact")
         fresh.select("file_id").write.mode("overwrite").parquet(f"{folder}/files/{txn}")
+        parsed.select("digest", "file_id").distinct().write.mode("overwrite").parquet(f"{folder}/origins/{txn}")
         _commit(spark, folder, txn, 0, digest["n"], [], rows, target_bytes)
-    level = 0
-    while True:
-        runs = [r for r in live_runs(spark, folder) if r["level"] == level]
-        if len(runs) >= fanout:
-            inputs = sorted(r["output"] for r in runs)
-            txn = hashlib.blake2b(f"{level + 1}:{inputs}".encode(), digest_size=12).hexdigest()
-            _commit(spark, folder, txn, level + 1, len(inputs), inputs, spark.read.parquet(*inputs), target_bytes)
-        elif not any(r["level"] > level for r in live_runs(spark, folder)):
-            return journal(spark, folder)
-        level += 1
+    while merging := next_merge(live_runs(spark, folder), fanout, target_bytes):
+        inputs, level = sorted(r["output"] for r in merging), 1 + max(r["level"] for r in merging)
+        txn = hashlib.blake2b(f"{level}:{inputs}".encode(), digest_size=12).hexdigest()
+        _commit(spark, folder, txn, level, len(inputs), inputs, spark.read.parquet(*inputs), target_bytes)
+    return journal(spark, folder)
+
+
+def _loads(spark: SparkSession, folder: str) -> list[str]:
+    return [r["txn"] for r in journal(spark, folder).where("level = 0").select("txn").distinct().collect()]
 
 
 def _seen_files(spark: SparkSession, folder: str) -> DataFrame | None:
-    """File ids of finished level-0 transactions."""
-    done = [r["txn"] for r in journal(spark, folder).where("level = 0").select("txn").collect()]
+    """File ids of finished loads."""
+    done = _loads(spark, folder)
     return spark.read.parquet(*[f"{folder}/files/{t}" for t in done]) if done else None
 
 
+def origins(spark: SparkSession, folder: str) -> DataFrame:
+    """``digest, file_id``: which files each record of the store came from, as its finished loads recorded it."""
+    done = _loads(spark, folder)
+    return spark.read.parquet(*[f"{folder}/origins/{t}" for t in done]) if done else spark.createDataFrame([], "digest binary, file_id bigint")
+
+
 def stored_records(spark: SparkSession, folder: str) -> DataFrame:
     """What the store holds now."""
     runs = live_runs(spark, folder)

@@ -17,7 +17,7 @@ from leafwright.functions import similarity
 from leafwright.functions import text as tx
 from leafwright.operators import features, labels, layout, nested, statistics
 from leafwright.plans.perplexity import r6
-from leafwright.storage import shared_dir, table, written
+from leafwright.storage import table, work_dir, written
 from leafwright.streaming import incremental
 
 
@@ -110,7 +110,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = _regions(t).select("page_id", F.col("ord").alias("region_ord"), F.col("type").alias("kind"))
     para = F.concat_ws(".", "page_id", "region_ord")
     norm = lambda c: tx.tokens(tx.normal_supervised(c))
-    place = (F.col("region_ord") * 100000 + F.col("line_ord")).cast("bigint")
+    place = F.shiftleft(F.col("region_ord").cast("bigint"), 32) + F.col("line_ord")  # both are 32-bit: no two lines share a place
     truth = _lines(t).join(kinds, ["page_id", "region_ord"]).select("page_id", place.alias("line_ord"), "kind", para.alias("para"), norm(F.coalesce("text", F.lit(""))).alias("words"))
     w = t["text_regions.lines.words"].where("not is_null").select("page_id", F.col("parent")[0].alias("region_ord"), F.col("parent")[1].alias("line_ord"), "ord", "text")
     joined = w.groupBy("page_id", "region_ord", "line_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " ").alias("text"))
@@ -168,7 +168,7 @@ def manual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages scored by a file stream that reads the table as it stands."""
-    folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/arrivals-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "chunk_pages")
     scored = incremental.score_arrivals(spark, f"{sf_dir}/chunk_pages.parquet*", source.schema, f"{folder}/scores", f"{folder}/checkpoint")
     return scored.dropDuplicates(["page_id"]).select("page_id", "book_id", r6(F.col("score")).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright.operators import compaction, nested
-from leafwright.storage import shared_dir, table, written
+from leafwright.storage import table, work_dir, written
 
 REGIONS, LINES, WORDS = "text_regions", "text_regions.lines", "text_regions.lines.words"
 
@@ -52,9 +52,15 @@ def p5_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("page_id", F.concat_ws(".", "parent").alias("owner"), "points")
 
 
+def _store(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = compaction.file_records(table(spark, sf_dir, "html_files")).select("digest", "file_id")
-    return compaction.files_sharing_records(written(records, "records"))
+    """Files with a record in common: compacts all files into a new store and asks it where its records came from."""
+    folder = _store(spark)
+    compaction.compact(table(spark, sf_dir, "html_files"), folder)
+    return compaction.files_sharing_records(compaction.origins(spark, folder))
 
 
 def p6_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +69,23 @@ def p6_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compacts all files into a new store and returns what it holds: each record once."""
-    folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    folder = _store(spark)
     compaction.compact(table(spark, sf_dir, "html_files"), folder)
     return compaction.stored_records(spark, folder).select("filename", "html")
 
 
+def p6_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in six loads, the last one twice, with merges between: files loaded, records held, records held twice."""
+    files, folder = table(spark, sf_dir, "html_files"), _store(spark)
+    for load in (*range(6), 5):
+        compaction.compact(files.where(F.pmod("file_id", F.lit(6)) == load), folder, fanout=3)
+    loaded = compaction.journal(spark, folder).where("level = 0").agg(F.sum("n_inputs").alias("files"))
+    held = compaction.stored_records(spark, folder).groupBy("filename", "html").agg(F.count("*").alias("n"))
+    return held.agg(F.count("*").alias("records"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated")).crossJoin(loaded)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_pages, p5_regions, p5_lines, p5_words, p5_coords, p6_found, p6_tiers, p6_compacted)}
+    return {f.__name__: f for f in (p5_found, p5_pages, p5_regions, p5_lines, p5_words, p5_coords, p6_found, p6_tiers, p6_compacted, p6_loads)}
 
 
 LATEST = "pages AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM page_records)"
@@ -104,4 +120,5 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"WITH {RECORDS} SELECT DISTINCT a.file_id AS file_a, b.file_id AS file_b FROM rec a JOIN rec b ON a.filename = b.filename AND a.html = b.html AND a.file_id < b.file_id",
         "p6_tiers": "SELECT floor(ln(greatest(coalesce(size_bytes, 0), 1)) / ln(4))::INTEGER AS tier, count(*) AS n_files, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM (SELECT DISTINCT file_id, size_bytes FROM html_files) GROUP BY 1",
         "p6_compacted": f"WITH {RECORDS} SELECT DISTINCT filename, html FROM rec",
+        "p6_loads": f"WITH {RECORDS} SELECT (SELECT count(DISTINCT file_id) FROM html_files) AS files, (SELECT count(*) FROM (SELECT DISTINCT filename, html FROM rec)) AS records, 0::BIGINT AS repeated",
     }

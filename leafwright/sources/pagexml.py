@@ -94,13 +94,21 @@ def nest(words_: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(whole, "page_id", "left")
 
 
+def _file_system(folder: str):
+    """The file system of a folder (a path, or a URI such as file:// or hdfs://) and the folder's path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    where, root = _file_system(folder)
     for batch in batches:
         for record in batch.to_pylist():
-            path = os.path.join(folder, f"{os.path.basename(record['page_id'])}.xml")
-            with open(f"{path}.tmp", "w", encoding="utf-8") as out:
-                out.write(page_xml(record))
-            os.replace(f"{path}.tmp", path)
+            path = f"{root}/{os.path.basename(record['page_id'])}.xml"
+            with where.open_output_stream(f"{path}.tmp") as out:
+                out.write(page_xml(record).encode("utf-8"))
+            where.move(f"{path}.tmp", path)
         yield batch.select(["page_id"])
 
 
@@ -109,5 +117,6 @@ def write_pages(nested: DataFrame, folder: str) -> int:
 
     A file appears whole or not at all, so a lost task can run again.
     """
-    os.makedirs(folder, exist_ok=True)
+    where, root = _file_system(folder)
+    where.create_dir(root, recursive=True)
     return nested.where("page_id is not null").mapInArrow(partial(_write, folder=folder), "page_id string").count()

@@ -2,7 +2,7 @@
 
 Intermediate results that several plans read are written as Parquet below the folder named by
 ``spark.checkpoint.dir``, which every executor shares, so they survive the loss of executors and
-cut the lineage. Only where that setting is absent (tests on one machine) an own folder is made.
+cut the lineage. Only where that setting is absent and the master is local (tests) an own folder is made.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only where the session names none and runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="leafwright-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright.functions.numeric import sigmoid
-from leafwright.storage import shared_dir
+from leafwright.storage import work_dir
 
 
 def page_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
@@ -30,7 +30,7 @@ def score_arrivals(spark: SparkSession, source: str, schema, target: str, checkp
     def put(batch: DataFrame, number: int) -> None:
         page_scores(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    query = page_stream(spark, source, schema).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/stream").trigger(availableNow=True).start()
+    query = page_stream(spark, source, schema).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint or f"{work_dir(spark)}/stream").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(target).select("page_id", "book_id", "score")
 

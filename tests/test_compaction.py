@@ -92,3 +92,28 @@ def test_files_without_an_id_are_kept_apart(spark, store):
 def test_no_files(spark, store):
     assert cp.compact(files(spark, []), store).count() == 0 and records(spark, store) == []
     assert cp.tier_plan(files(spark, [])).count() == 0
+
+
+def test_only_runs_of_similar_size_are_merged(spark, store):
+    """A large run and three tiny ones: the tiny ones merge, the large one is not written again."""
+    one = "file_id bigint, body string"
+    cp.compact(spark.createDataFrame([(99, json.dumps({"Filename": "large", "ColoredTextHTML": "t" * 5000}))], one), store, fanout=3)
+    large = cp.live_runs(spark, store)[0]["output"]
+    for i in range(3):
+        cp.compact(spark.createDataFrame([(i, json.dumps({"Filename": str(i), "ColoredTextHTML": "t"}))], one), store, fanout=3)
+    runs = {r["output"]: r for r in cp.live_runs(spark, store)}
+    assert len(runs) == 2 and runs[large]["level"] == 0 and {r["level"] for r in runs.values()} == {0, 1}
+    assert cp.next_merge([{"bytes": 500}] * 9, 3, target_bytes=400) == [] and len(cp.next_merge([{"bytes": 500}] * 9, 3, 4000)) == 9
+    assert [cp.byte_tier(b, 4) for b in (0, 1, 3, 4, 15, 16)] == [0, 0, 0, 1, 1, 2]
+
+
+def test_the_store_knows_where_its_records_came_from(spark, store):
+    """Files with a record in common, from the journal of two loads; an unfinished load counts for nothing."""
+    held = {i: {(n, h) for _, n, h in cp.parse_records(b)} for i, b in BODIES.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(held), 2) if held[a] & held[b]}
+    assert cp.origins(spark, store).count() == 0
+    cp.compact(files(spark, [1, 2, 4, 8]), store)
+    spark.createDataFrame([(b"x", 1), (b"x", 2)], "digest binary, file_id bigint").write.parquet(f"{store}/origins/unfinished")
+    cp.compact(files(spark, list(BODIES)), store)
+    got = cp.files_sharing_records(cp.origins(spark, store)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
