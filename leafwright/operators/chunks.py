@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwright.operators.percentiles import percentiles
+
 ERROR_PERPLEXITY = 158.0
 SCORE_PERPLEXITY = 100.0
 
@@ -23,12 +25,32 @@ def word_chunks(texts: DataFrame, keys: list[str], words: str, size: int = 20, o
     return starts.select(*keys, "chunk_id", "start_word_id", (end - 1).alias("end_word_id"), F.slice("_w", F.col("start_word_id") + 1, size).alias("words"))
 
 
-def smoothed(chunks: DataFrame, keys: list[str], ppl: str = "ppl") -> DataFrame:
-    """Mean perplexity over the windows that hold a word; no number counts as 0."""
-    per_word = chunks.select(*keys, F.explode(F.sequence("start_word_id", "end_word_id")).alias("word_id"), F.col(ppl).alias("_p"))
-    mean = F.avg("_p")
-    clean = F.when(mean.isNull() | F.isnan(mean) | (F.abs(mean) == float("inf")), 0.0).otherwise(mean)
-    return per_word.groupBy(*keys, "word_id").agg(clean.alias("ppl"))
+def smoothed(pages: DataFrame, keys: list[str], logp: str, size: int = 20, overlap: int = 10) -> DataFrame:
+    """``keys..., word_id, ppl``: mean perplexity over the windows that hold a word; no number counts as 0.
+
+    ``logp`` are the log probabilities of a page's words, in order. A window's perplexity is exp of its mean negative
+    log probability. All is reckoned inside the page's array: a word is in the windows from the first that
+    reaches it to the last that starts before it, so no window and no word is shuffled.
+    """
+    step = max(1, size - overlap)
+    n = F.size(logp)
+    starts = chunk_starts(n, size, overlap)
+    windows = pages.select(*keys, n.alias("_n"), F.transform(starts, lambda s: window_perplexity(F.slice(logp, s + 1, size))).alias("_p"))
+    first = lambda i: F.greatest(F.ceil((i - (size - 1)) / F.lit(step)), F.lit(0)).cast("int")
+    last = lambda i: F.least(F.floor(i / F.lit(step)), F.size("_p") - 1).cast("int")
+
+    def mean(i):
+        held = F.slice("_p", first(i) + 1, last(i) - first(i) + 1)
+        m = F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / F.size(held)
+        return F.when(m.isNull() | F.isnan(m) | (F.abs(m) == float("inf")), 0.0).otherwise(m)
+
+    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
+    return windows.select(*keys, F.posexplode(F.transform(places, mean)).alias("word_id", "ppl"))
+
+
+def window_perplexity(logp: Column) -> Column:
+    """exp of the mean negative log probability of an array."""
+    return F.exp(-F.aggregate(logp, F.lit(0.0), lambda a, x: a + x) / F.size(logp))
 
 
 def islands(words: DataFrame, keys: list[str], pos: str, is_error: Column, carry: dict[str, str]) -> DataFrame:
@@ -47,7 +69,7 @@ def _field(items: str, name: str) -> Column:
 
 def quartile_bound(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """``q1, q3, bound``: linearly interpolated quartiles and the bound 1.5 quartile ranges above."""
-    q = df.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    q = percentiles(df, value, {"q1": 0.25, "q3": 0.75}, by)
     return q.withColumn("bound", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words of a model up to which it is broadcast (some 50 bytes each), and words of a larger one that are.
+MAX_WORDS, HOT_WORDS = 500_000, 10_000
+
 
 def unigrams(tokens: DataFrame, word: str = "word") -> DataFrame:
     """``word, n, logp``: logp = ln((n + 1) / (N + V)) over lower-case words."""
@@ -18,5 +21,23 @@ def unigrams(tokens: DataFrame, word: str = "word") -> DataFrame:
 
 
 def with_logp(words: DataFrame, model: DataFrame, word: str = "word") -> DataFrame:
-    """Words with their log probability; the model is joined by key, so it may be of any size."""
-    return words.join(model.select(F.col("word").alias("_lw"), "logp"), F.lower(word) == F.col("_lw"), "left").drop("_lw")
+    """Words with their log probability.
+
+    The model is broadcast while it has at most ``MAX_WORDS`` words. A larger one is joined by key, the commonest
+    words of the model (at most ``HOT_WORDS``) by broadcast even then, so no word gathers in one task.
+    """
+    side = model.select(F.col("word").alias("_lw"), "logp")
+    if side.limit(MAX_WORDS + 1).count() <= MAX_WORDS:
+        return words.join(F.broadcast(side), F.lower(word) == F.col("_lw"), "left").drop("_lw")
+    hot = F.broadcast(model.orderBy(F.desc("n")).limit(HOT_WORDS).select(F.col("word").alias("_hw"), F.col("logp").alias("_hot")))
+    marked = words.join(hot, F.lower(word) == F.col("_hw"), "left").drop("_hw")
+    known = marked.where("_hot is not null").withColumnRenamed("_hot", "logp")
+    rest = marked.where("_hot is null").drop("_hot").join(side, F.lower(word) == F.col("_lw"), "left").drop("_lw")
+    return known.unionByName(rest)
+
+
+def page_logp(pages: DataFrame, keys: list[str], words: str, model: DataFrame) -> DataFrame:
+    """``keys..., lp``: the log probabilities of a page's words, in order; words that the model lacks have null."""
+    single = pages.select(*keys, F.posexplode(words).alias("pos", "word"))
+    scored = with_logp(single, model).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "logp"))).alias("_s"))
+    return scored.select(*keys, F.transform("_s", lambda x: x["logp"]).alias("lp"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.functions.numeric import correlation_p
+from leafwright.operators.percentiles import percentiles
 from leafwright.storage import written
 
 
@@ -20,20 +21,29 @@ def page_error_scores(words: DataFrame, pages: DataFrame, is_error: Column, over
 
 def book_summary(scores: DataFrame) -> DataFrame:
     """Per book over its valid scores; the page id that comes first wins ties for best and worst."""
+    scores = written(scores.select("book_id", "page_id", "score"), "scores")  # the median reads it apart
     valid = F.col("score").isNotNull()
     page = F.when(valid, F.struct("score", "page_id"))
     negative = F.when(valid, F.struct((-F.col("score")).alias("score"), F.col("page_id")))
-    rows = scores.groupBy("book_id").agg(
-        F.count("score").alias("num_pages"), F.avg("score").alias("mean_score"), F.median("score").alias("median_score"), F.min(page).alias("b"), F.min(negative).alias("w")
-    )
+    rows = scores.groupBy("book_id").agg(F.count("score").alias("num_pages"), F.avg("score").alias("mean_score"), F.min(page).alias("b"), F.min(negative).alias("w"))
+    rows = with_median(rows, scores, "score", ["book_id"], "median_score")
     return rows.select("book_id", "num_pages", "mean_score", "median_score", F.col("b.score").alias("best_score"), F.col("b.page_id").alias("best_page_id"), (-F.col("w.score")).alias("worst_score"), F.col("w.page_id").alias("worst_page_id"))
 
 
+def with_median(rows: DataFrame, values: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """``rows``, one per group (or one), with the exact median of the group's values."""
+    medians = percentiles(values, value, {name: 0.5}, by)
+    if not by:
+        return rows.crossJoin(F.broadcast(medians))
+    side = medians.select(*[F.col(k).alias(f"_m_{k}") for k in by], name)
+    return rows.join(side, [rows[k].eqNullSafe(F.col(f"_m_{k}")) for k in by], "left").drop(*[f"_m_{k}" for k in by])
+
+
 def described(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """count, mean, median, sample deviation (0 for one value), least and greatest."""
-    return df.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
+    kept = written(df.where(F.col(value).isNotNull()).select(*(by or []), value), "described")
+    rows = kept.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return with_median(rows, kept, value, by or [], "median").select(*(by or []), "n", "mean", "median", "stdev", "min", "max")
 
 
 def last_by_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -55,7 +65,7 @@ def average_rank(df: DataFrame, value: str, alias: str) -> DataFrame:
     """
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
     bounded = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranged = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
+    ranged = written(counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()), "ranged")  # both branches need the same partitions
     inside = ranged.withColumn("_upto", F.sum("_n").over(bounded))
     totals = ranged.groupBy("_p").agg(F.sum("_n").alias("_t"))
     before = totals.withColumn("_before", F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).select("_p", "_before")

@@ -9,6 +9,7 @@ from leafwright import corpus
 from leafwright.functions import numeric as nm
 from leafwright.functions import text as tx
 from leafwright.operators import chunks, language, statistics
+from leafwright.operators.percentiles import percentiles
 from leafwright.storage import table, written
 
 SIZE, OVERLAP = 20, 10
@@ -35,28 +36,25 @@ def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "chunk_id", "start_word_id", "end_word_id", F.array_join("words", " ").alias("chunk"))
 
 
-def _chunk_ppl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perplexity of every window: exp of the mean negative log probability of its words."""
-    pages = _page_words(spark, sf_dir)
-    single = pages.select("page_id", "book_id", F.posexplode("words").alias("pos", "word"))
-    model = language.unigrams(single)
-    scored = language.with_logp(single, model)
-    arrays = scored.groupBy("page_id").agg(F.max("book_id").alias("book_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "logp"))), lambda x: x["logp"]).alias("lp"))
-    made = chunks.word_chunks(arrays, ["page_id", "book_id"], "lp", SIZE, OVERLAP)
-    return made.withColumn("ppl", F.exp(-F.aggregate("words", F.lit(0.0), lambda a, x: a + x) / F.size("words")))
+def _page_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, book_id, lp``: the log probabilities of a page's words as an array, in order."""
+    pages = written(_page_words(spark, sf_dir), "page_words")  # the model and the pages both read it
+    model = written(language.unigrams(pages.select(F.explode("words").alias("word"))), "model")
+    return language.page_logp(pages, ["page_id", "book_id"], "words", model)
 
 
 def chunk_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunk_ppl(spark, sf_dir).select("page_id", "chunk_id", r6(F.col("ppl")).alias("ppl"))
+    made = chunks.word_chunks(_page_logp(spark, sf_dir), ["page_id"], "lp", SIZE, OVERLAP)
+    return made.select("page_id", "chunk_id", r6(chunks.window_perplexity(F.col("words"))).alias("ppl"))
 
 
 def smoothed_word_ppl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.smoothed(_chunk_ppl(spark, sf_dir), ["page_id"]).select("page_id", "word_id", r6(F.col("ppl")).alias("ppl"))
+    return chunks.smoothed(_page_logp(spark, sf_dir), ["page_id"], "lp", SIZE, OVERLAP).select("page_id", "word_id", r6(F.col("ppl")).alias("ppl"))
 
 
 def page_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows to word perplexities to errors above the quartile bound to page scores to book summaries."""
-    smooth = chunks.smoothed(_chunk_ppl(spark, sf_dir), ["page_id", "book_id"]).withColumn("ppl", F.round("ppl", 6))
+    smooth = chunks.smoothed(_page_logp(spark, sf_dir), ["page_id", "book_id"], "lp", SIZE, OVERLAP).withColumn("ppl", F.round("ppl", 6))
     smooth = written(smooth, "smooth")  # the bound and the judgement both read it
     bound = chunks.quartile_bound(smooth, "ppl").select(F.round("bound", 6).alias("bound"))
     judged = smooth.crossJoin(F.broadcast(bound))
@@ -90,7 +88,7 @@ def anomaly_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ppl_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive perplexities, cut at the 99th percentile, in 40 bins of their binary logarithm."""
     words = corpus.scored_words(spark, sf_dir).where("ppl > 0")
-    cut = words.agg(F.percentile("ppl", F.lit(0.99)).alias("p99"))
+    cut = percentiles(words, "ppl", {"p99": 0.99})
     kept = words.crossJoin(F.broadcast(cut)).select(F.log2(F.least("ppl", "p99")).alias("x"))
     return kept.groupBy(F.floor(F.round("x", 9) * 2).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
@@ -108,7 +106,7 @@ def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = corpus.words(spark, sf_dir).where(F.coalesce("text", F.lit("")) != "").select("word_id", F.col("text").alias("word"))
-    scored = language.with_logp(words, language.unigrams(words))
+    scored = language.with_logp(words, written(language.unigrams(words), "model"))
     return scored.select("word_id", r6(F.col("logp")).alias("logp"), tx.word_colour(F.round("logp", 6)).alias("colour"))
 
 
@@ -184,8 +182,8 @@ def oracle_sql() -> dict[str, str]:
         "error_islands": f"""WITH {corpus.PPL_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM p), f AS (SELECT *, n - row_number() OVER (PARTITION BY page_id ORDER BY pos) AS run FROM a WHERE coalesce(ppl, 0) > 158)
             SELECT page_id, min(pos) AS start_idx, max(pos) AS end_idx, string_agg(coalesce(word, '?'), '|' ORDER BY pos) AS words, string_agg(coalesce(line_id, '?'), '|' ORDER BY pos) AS line_ids FROM f GROUP BY page_id, run""",
         "iqr_threshold": f"WITH {corpus.PPL_SQL}, {QUART} SELECT {three} FROM q",
-        "anomaly_threshold": f"""WITH {corpus.PPL_SQL}, {QUART}, md AS (SELECT page_id FROM p, q WHERE ppl IS NOT NULL GROUP BY page_id HAVING median(greatest((ppl - q1 * 0 - q3) / (q3 - q1), 0::DOUBLE)) < 1.5),
-            r AS (SELECT quantile_cont(ppl, 0.25) AS q1, quantile_cont(ppl, 0.75) AS q3 FROM p SEMI JOIN md USING (page_id) WHERE ppl IS NOT NULL) SELECT {three} FROM r""".replace("ppl - q1 * 0 - q3", "ppl - q3"),
+        "anomaly_threshold": f"""WITH {corpus.PPL_SQL}, {QUART}, md AS (SELECT page_id FROM p, q WHERE ppl IS NOT NULL GROUP BY page_id HAVING median(greatest((ppl - q3) / (q3 - q1), 0::DOUBLE)) < 1.5),
+            r AS (SELECT quantile_cont(ppl, 0.25) AS q1, quantile_cont(ppl, 0.75) AS q3 FROM p SEMI JOIN md USING (page_id) WHERE ppl IS NOT NULL) SELECT {three} FROM r""",
         "anomaly_pages": f"WITH {corpus.PPL_SQL}, {QUART}, s AS (SELECT page_id, greatest((ppl - q3) / (q3 - q1), 0::DOUBLE) AS a FROM p, q WHERE ppl IS NOT NULL) SELECT page_id, round(median(a), 6) AS median_anomaly, round(max(a), 6) AS max_anomaly FROM s GROUP BY 1",
         "ppl_histogram": f"WITH {corpus.PPL_SQL}, h AS (SELECT quantile_cont(ppl, 0.99) AS p99 FROM p WHERE ppl > 0) SELECT floor(round(log2(least(ppl, p99)), 9) * 2)::INTEGER AS bin, count(*) AS n FROM p, h WHERE ppl > 0 GROUP BY 1",
         "page_ppl_stats": f"WITH {corpus.PPL_SQL} SELECT page_id, count(ppl) AS n, round(avg(ppl), 6) AS mean, round(stddev_pop(ppl), 6) AS stdev, round(max(ppl), 6) AS max FROM p GROUP BY 1",

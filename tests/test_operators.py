@@ -134,3 +134,34 @@ def test_hybrid_puts_the_last_overlapping_line_before(spark):
     p = layout.measured(pred, "coords").select("page_id", "region_ord", F.col("coords").alias("region_coords"), F.col("polygon_area").alias("region_area"))
     got = layout.overlay_verdicts(layout.measured(ln, "coords"), p, layout.measured(gt, "coords"), with_text=True).collect()
     assert {r["ord"]: r["error_type"] for r in got} == {0: "error", 1: "none", 2: "merge"}
+
+
+def test_percentiles_are_exact_over_narrowed_bands(spark):
+    """Bands of a few values, ties, one group with most rows, null keys, null values: as Spark's own percentile."""
+    from leafwright.operators.percentiles import percentiles
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "a", "b", None]), rng.choice([rng.gauss(0, 1), rng.expovariate(1), 0.0, 7.0, None])) for _ in range(6000)] + [("c", 1.5), ("d", None)]
+    rows += [("two", float(i % 2)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    points = {"lo": 0.01, "mid": 0.5, "hi": 0.95, "top": 1.0}
+    for by in (None, ["k"]):
+        want = df.where("v is not null").groupBy(*(by or [])).agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in points.items()]).collect()
+        for band in (30, 100_000):
+            got = percentiles(df, "v", points, by, band=band).collect()
+            key = lambda r: (str(r[0]), r[-1])
+            assert len(got) == len(want)
+            for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+                assert tuple(g) == pytest.approx(tuple(w), abs=1e-12) if by is None else (g["k"] == w["k"] and tuple(g)[1:] == pytest.approx(tuple(w)[1:], abs=1e-12))
+    assert tuple(percentiles(df.where("1 = 0"), "v", points).first()) == (None,) * 4 and percentiles(df.where("1 = 0"), "v", points, ["k"]).count() == 0
+
+
+def test_a_model_of_any_size_gives_the_same_probabilities(spark, monkeypatch):
+    from leafwright.operators import language
+
+    words = spark.createDataFrame([(i, w) for i, w in enumerate("der der der Turm steht DER und und x".split() + [None])], "i int, word string")
+    model = language.unigrams(words)
+    want = sorted(language.with_logp(words, model).collect(), key=lambda r: r["i"])
+    monkeypatch.setattr(language, "MAX_WORDS", 2)
+    monkeypatch.setattr(language, "HOT_WORDS", 2)
+    assert sorted(language.with_logp(words, model).collect(), key=lambda r: r["i"]) == want and len(want) == 10
