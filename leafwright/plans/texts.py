@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT file_id, xml_path, size_bytes, modified_at FROM html_files)""",
         "levenshtein_join": f"""WITH {corpus.WORDS_SQL}, e AS (SELECT page_id, region_ord, line_ord + 1 AS line_ord, word_id AS left_id, regexp_replace(text, '⸗+$', '') AS l FROM w WHERE ends_with(text, '⸗')),
             b AS (SELECT left_id, word_id AS right_id, replace(translate(lower(l || replace(text, '⸗', '')), 'ſʒƶ', 'szz'), '-', '') AS c FROM e JOIN w USING (page_id, region_ord, line_ord) WHERE word_ord = 0 AND text IS NOT NULL),
-            n AS (SELECT left_id, right_id, length(lower(word)) AS n, levenshtein(translate(c, 'äöüß', '1234'), translate(lower(word), 'äöüß', '1234')) AS x FROM b JOIN lexicon ON substr(c, 1, 4) = substr(lower(word), 1, 4))
+            n AS (SELECT left_id, right_id, length(lower(word)) AS n, levenshtein(translate(c, 'äöüß', '1234'), translate(lower(word), 'äöüß', '1234')) AS x FROM b JOIN lexicon ON true)
             SELECT left_id, right_id, count(*) AS n_near, min(x)::INTEGER AS edits FROM n WHERE x <= greatest(1, floor(0.3::DOUBLE * n)::INTEGER) GROUP BY 1, 2""",
         "phrase_places": f"""WITH {D}, v AS (SELECT doc_id, line_no, {PARTS} AS w FROM d)
             SELECT doc_id, line_no, len(list_filter(range(1, len(w)), lambda i: w[i] = w[1] AND w[i + 1] = w[2]))::INTEGER AS n_places FROM v WHERE len(w) >= 2""",
