@@ -170,11 +170,11 @@ def align(words: list[str], scored: list[str]) -> list[int]:
 def chunk_alignment(words: DataFrame, scored: DataFrame) -> DataFrame:
     """``word_id, ppl``: perplexities of scored words on page words; words beyond the last scored one have none.
 
-    ``words``: page_id, word_id, ord (array or number that sorts), text; ``scored``: page_id, pos, word, ppl.
+    ``words``: page_id, word_id, region_ord, line_ord, word_ord, text; ``scored``: page_id, pos, word, ppl.
     """
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("ord"), right.sort_values("pos")
+        left, right = left.sort_values(["region_ord", "line_ord", "word_ord", "word_id"], na_position="first"), right.sort_values("pos")
         places = align([t or "" for t in left["text"]], [t or "" for t in right["word"]])
         ppl = list(right["ppl"])
         return pd.DataFrame({"word_id": left["word_id"], "ppl": [ppl[p] if p >= 0 else None for p in places]}).astype({"ppl": "float64"})

@@ -132,7 +132,7 @@ def label_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexities of scored words on the words of the pages, divided words taking one together."""
-    words = corpus.words(spark, sf_dir).where("page_id is not null").select("page_id", "word_id", (F.col("region_ord").cast("bigint") * 100_000_000 + F.col("line_ord") * 10_000 + F.col("word_ord")).alias("ord"), "text")
+    words = corpus.words(spark, sf_dir).where("page_id is not null").select("page_id", "word_id", "region_ord", "line_ord", "word_ord", "text")
     return labels.chunk_alignment(words, corpus.scored_words(spark, sf_dir).select("page_id", "pos", "word", "ppl"))
 
 

@@ -41,15 +41,14 @@ def chunk_page_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = language.with_logp(flat, language.unigrams(words)).withColumn("logp", F.coalesce("logp", F.lit(-20.0)))
     keys = ["page_id", "region_ord", "is_number"]
     arrays = scored.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "logp"))), lambda x: x["logp"]).alias("lp"))
-    made = chunks.word_chunks(arrays, keys, "lp", SIZE, OVERLAP).withColumn("ppl", F.exp(-F.aggregate("words", F.lit(0.0), lambda a, x: a + x) / F.size("words")))
-    smooth = chunks.smoothed(made, keys)
+    smooth = chunks.smoothed(arrays, keys, "lp", SIZE, OVERLAP)
     ppl = F.when(F.col("is_number"), 0.0).otherwise(F.col("ppl"))
     return smooth.select("page_id", "region_ord", F.col("word_id").alias("i"), r6(ppl).alias("ppl"), (F.round(ppl, 6) > chunks.ERROR_PERPLEXITY).alias("is_error"))
 
 
 def chunk_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page words scored by the aligned perplexities; words without one stay unscored and without error."""
-    words = corpus.words(spark, sf_dir).where("page_id is not null").select("page_id", "word_id", (F.col("region_ord").cast("bigint") * 100_000_000 + F.col("line_ord") * 10_000 + F.col("word_ord")).alias("ord"), "text")
+    words = corpus.words(spark, sf_dir).where("page_id is not null").select("page_id", "word_id", "region_ord", "line_ord", "word_ord", "text")
     aligned = labels.chunk_alignment(words, corpus.scored_words(spark, sf_dir).select("page_id", "pos", "word", "ppl"))
     score = nm.sigmoid(F.col("ppl"))
     return aligned.select("word_id", r6(score).alias("score"), F.when(score > 0.5, "error").otherwise("none").alias("error_type"))

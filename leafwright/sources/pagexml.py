@@ -28,7 +28,7 @@ SCHEMA = f"_imageFilename string, _imageHeight int, _imageWidth int, _overwriteP
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, image_filename, image_height, image_width, overwrite_page_error, regions, corrupt``; -1 is unset."""
-    raw = spark.read.format("xml").option("rowTag", "Page").option("pathGlobFilter", "*.{xml,XML}").option("mode", "PERMISSIVE").schema(SCHEMA).load(path)
+    raw = spark.read.format("xml").option("rowTag", "Page").option("pathGlobFilter", "*.{xml,XML}").option("mode", "PERMISSIVE").option("ignoreSurroundingSpaces", False).schema(SCHEMA).load(path)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"(?i)^(.*)\.xml$", 1)
     image = F.regexp_replace("_imageFilename", r"(?<!\.bin)\.png$", ".bin.png")
     return raw.select(name.alias("page_id"), F.col("_imageFilename").alias("image_filename"), image.alias("raw_image_filename"), F.col("_imageHeight").alias("image_height"), F.col("_imageWidth").alias("image_width"), F.when(F.col("_overwritePageError") != -1.0, F.col("_overwritePageError")).alias("overwrite_page_error"), F.col("TextRegion").alias("regions"), F.col("_corrupt_record").alias("corrupt"))
