@@ -42,33 +42,52 @@ def page_features(words: DataFrame) -> DataFrame:
     return page.select("page_id", *[F.col(f).cast("double").alias(f) for f in FEATURES])
 
 
+#: The grid of the published search: 3 x 5 x 3 x 3 points (depth 30 stands for no limit, the deepest Spark grows).
+FULL_GRID = {"numTrees": [50, 100, 200], "maxDepth": [30, 5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["all", "sqrt", "log2"]}
+#: What a query can afford: the ends of each range.
+GRID = {"numTrees": [20, 50], "maxDepth": [5, 10], "minInstancesPerNode": [1, 4]}
+
+
 def hashed_embedding(texts: DataFrame, text: str, size: int = 64) -> DataFrame:
-    """A stand-in for a text embedder: hashed word counts of length ``size``; any other plugs in as an array column."""
-    from pyspark.ml.feature import HashingTF, Tokenizer
+    """A stand-in for a text embedder: hashed word counts of length ``size``; any other plugs in as a vector column."""
+    from pyspark.ml.feature import HashingTF
 
-    return Pipeline(stages=[Tokenizer(inputCol=text, outputCol="_t"), HashingTF(inputCol="_t", outputCol="embedding", numFeatures=size)]).fit(texts).transform(texts).drop("_t")
+    words = texts.withColumn("_t", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"))
+    return HashingTF(inputCol="_t", outputCol="embedding", numFeatures=size).transform(words).drop("_t")
 
 
 def train(features: DataFrame, label: str, grid: dict[str, list] | None = None, folds: int = 3, seed: int = 42, bound: int = 100_000):
     """(model, held-out metrics): a random forest, cross-validated over ``grid``, on at most ``bound`` labelled rows.
 
-    Rows are chosen and split by a hash of their page, so the split is the same whatever the partitions.
+    The inputs are the 18 features and, where there is a column ``embedding``, that of the page's text. Rows are
+    chosen and split by a hash of their page, so the split is the same whatever the partitions.
     """
     rows = features.where(F.col(label).isNotNull()).withColumn("_h", F.abs(F.xxhash64("page_id", F.lit(seed))))
     sample = rows.orderBy("_h").limit(bound)
     known, held_out = sample.where(F.col("_h") % 5 != 0), sample.where(F.col("_h") % 5 == 0)
     forest = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
-    values = grid or {"numTrees": [50], "maxDepth": [10], "minInstancesPerNode": [1]}
+    values = grid or GRID
     builder = ParamGridBuilder()
     for name, options in values.items():
         builder = builder.addGrid(getattr(forest, name), options)
     judge = RegressionEvaluator(labelCol=label, metricName="mse")
-    stages = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), CrossValidator(estimator=forest, estimatorParamMaps=builder.build(), evaluator=judge, numFolds=folds, seed=seed)])
+    stages = Pipeline(stages=[VectorAssembler(inputCols=[*FEATURES, *(["embedding"] if "embedding" in features.columns else [])], outputCol="features"), CrossValidator(estimator=forest, estimatorParamMaps=builder.build(), evaluator=judge, numFolds=folds, seed=seed, parallelism=4)])
     model = stages.fit(known)
     guessed = model.transform(held_out)
     return model, {m: RegressionEvaluator(labelCol=label, metricName=m).evaluate(guessed) for m in ("mse", "rmse", "mae")}
 
 
+def save_model(model, path: str) -> None:
+    """Keep a trained model in a folder of the shared storage; an older one there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def score_pages(model, features: DataFrame) -> DataFrame:
     """``page_id, score`` for all pages."""
     return model.transform(features).select("page_id", F.col("prediction").alias("score"))

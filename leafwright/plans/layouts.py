@@ -148,11 +148,20 @@ def error_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rf_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page scores predicted from the 18 features by a random forest fitted on a bounded sample of scored pages."""
-    made = features.page_features(corpus.words(spark, sf_dir))
+    """Page scores predicted from features and text by a random forest fitted on a bounded sample of scored pages.
+
+    The 18 features and the embedding of the whole page text are one vector; the model is chosen by three-fold
+    cross-validation, kept, loaded again and scores all pages.
+    """
+    words = corpus.words(spark, sf_dir)
+    texts = corpus.lines(words).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_ord", "line_ord", "text"))), lambda x: x["text"]), " ").alias("text"))
+    made = features.page_features(words).join(features.hashed_embedding(texts, "text").select("page_id", "embedding"), "page_id")
+    made = written(made, "features")  # search and scoring both read it
     rated = made.join(corpus.page_scores(spark, sf_dir).select("page_id", F.col("score").alias("label")), "page_id", "left")
     model, _ = features.train(rated, "label")
-    return features.score_pages(model, made)
+    kept = f"{work_dir(spark)}/model-{uuid.uuid4().hex}"
+    features.save_model(model, kept)
+    return features.score_pages(features.load_model(kept), made)
 
 
 def naive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +193,20 @@ def queries() -> dict:
     return {f.__name__: f for f in names}
 
 
+def _both(i: str, a: str) -> str:
+    """1 where page word i is divided and, with the next one, near enough to scored word a, else 0."""
+    letters = lambda x: f"translate({x}, 'äöüßſʒƶ⸗é', '123456789')"  # noqa: E731 (one byte each, as levenshtein counts bytes)
+    whole = f"replace(translate(lower(regexp_replace(ws[{i}], '⸗+$', '') || replace(ws[{i} + 1], '⸗', '')), 'ſʒƶ', 'szz'), '-', '')"
+    near = f"levenshtein({letters(whole)}, {letters(f'lower(ss[{a}])')}) <= greatest(1, floor(0.3::DOUBLE * length(ss[{a}])))"
+    return f"CASE WHEN ends_with(ws[{i}], '⸗') AND {i} < len(ws) AND {near} THEN 1 ELSE 0 END"
+
+
+ALIGNED = f"""{corpus.WORDS_SQL}, {corpus.PPL_SQL}, g AS (SELECT page_id, list(coalesce(text, '') ORDER BY region_ord, line_ord, word_ord, word_id) AS ws, list(word_id ORDER BY region_ord, line_ord, word_ord, word_id) AS ids FROM w WHERE page_id IS NOT NULL GROUP BY 1),
+  sc AS (SELECT page_id, list(coalesce(word, '') ORDER BY pos) AS ss, list(ppl ORDER BY pos) AS ps FROM p GROUP BY 1), b AS (SELECT * FROM g LEFT JOIN sc USING (page_id)),
+  r AS (SELECT page_id, 1 AS i, 1 AS a, {_both('1', '1')} AS t FROM b WHERE len(ss) > 0
+    UNION ALL SELECT page_id, n, m, {_both('n', 'm')} FROM (SELECT b.*, r.i + 1 + r.t AS n, r.a + 1 AS m FROM r JOIN b ON r.page_id = b.page_id WHERE r.i + 1 + r.t <= len(ws) AND r.a + 1 <= len(ss))),
+  m AS (SELECT page_id, i, a FROM r UNION ALL SELECT page_id, i + 1, a FROM r WHERE t = 1), e AS (SELECT page_id, unnest(range(1, len(ws) + 1)) AS i, ids, ps FROM b),
+  al AS (SELECT ids[e.i] AS word_id, ps[m.a] AS ppl FROM e LEFT JOIN m ON e.page_id = m.page_id AND e.i = m.i)"""
 REG = """r AS (SELECT DISTINCT page_id, overwrite_page_error AS o, text_regions FROM page_records), a AS (SELECT page_id, unnest(range(len(text_regions)))::INTEGER AS ord, text_regions FROM r), n AS (SELECT page_id, ord, text_regions[ord + 1] AS x FROM a),
   t AS (SELECT page_id, ord, list_transform(list_filter(string_split_regex(trim(x.coords.points), '\\s+'), lambda p: contains(p, ',')), lambda p: [try_cast(string_split(p, ',')[1] AS INTEGER), try_cast(string_split(p, ',')[2] AS INTEGER)]) AS p FROM n WHERE x IS NOT NULL),
   b AS (SELECT page_id, ord, coalesce(p, []) AS p, list_min(list_transform(p, lambda q: q[1])) AS x0, list_min(list_transform(p, lambda q: q[2])) AS y0, list_max(list_transform(p, lambda q: q[1])) AS x1, list_max(list_transform(p, lambda q: q[2])) AS y1 FROM t)"""
@@ -197,6 +220,9 @@ def oracle_sql() -> dict[str, str]:
         "rect_overlaps": f"""WITH {REG}, m AS (SELECT page_id, ord AS other, x0 AS u0, y0 + ord % 5 * 7 AS v0, x1 AS u1, y1 + ord % 5 * 7 AS v1 FROM b WHERE x0 IS NOT NULL),
             j AS (SELECT *, ((least(x1, u1) - greatest(x0, u0)) * (least(y1, v1) - greatest(y0, v0)))::DOUBLE AS sh, ((x1 - x0) * (y1 - y0))::DOUBLE AS sa, ((u1 - u0) * (v1 - v0))::DOUBLE AS sb FROM b JOIN m USING (page_id) WHERE x0 <= u1 AND u0 <= x1 AND y0 <= v1 AND v0 <= y1)
             SELECT page_id, ord, other, round(CASE WHEN sa > 0 THEN sh / sa ELSE 0 END, 6) AS coverage, round(CASE WHEN sa + sb - sh > 0 THEN sh / (sa + sb - sh) ELSE 0 END, 6) AS iou FROM j""",
+        "chunk_align": f"WITH RECURSIVE {ALIGNED} SELECT word_id, ppl FROM al",
+        "naive_scores": f"""WITH {corpus.WORDS_SQL}, u AS (SELECT word_id, ('0x' || substr(md5(word_id || ':0'), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS score FROM w)
+            SELECT word_id, score, CASE WHEN score > 0.5 THEN 'error' ELSE 'none' END AS error_type FROM u""",
         "manual_scores": "SELECT DISTINCT page_id, CASE WHEN overwrite_page_error <> -1 THEN overwrite_page_error ELSE 0 END::DOUBLE AS score FROM page_records",
         "stream_scores": """WITH c AS (SELECT DISTINCT page_id, book_id, list_filter(word_smoothed_ppl_page, lambda x: x IS NOT NULL AND NOT isnan(x)) AS p FROM chunk_pages)
             SELECT page_id, book_id, round(CASE WHEN len(p) > 0 THEN len(list_filter(p, lambda x: 1 / (1 + exp(-0.1::DOUBLE * (x - 100))) > 0.5))::DOUBLE / len(p) ELSE 0 END, 6)::DOUBLE AS score FROM c""",
