@@ -13,8 +13,14 @@ LINE_MARK, NBSP = "⸗", "\u00a0"
 WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"[\s\p{Z}]+"
 
-# Abbreviations of German texts whose dot ends no sentence (without the last dot).
-ABBREVIATIONS = "z.B u.a u.U d.h ggf bzw etc sog ca Nr Dr Prof bspw vgl Fig Abb Hr Fr evtl bsp i.d.R Jan Feb Mrz Apr Mai Jun Jul Aug Sep Okt Nov Dez Jh St Abs S Tab Bd Hrsg Kap Lit s Anm dgl u.Ä usw z.T z.Z zzgl".split()
+# Abbreviations of German texts whose dot ends no sentence.
+ABBREVIATIONS = (
+    "z.B.", "u.a.", "u.U.", "d.h.", "ggf.", "bzw.", "etc.", "sog.", "ca.", "Nr.", "Dr.", "Prof.", "bspw.", "vgl.", "Fig.", "Abb.", "Hr.", "Fr.", "evtl.", "bsp.", "i.d.R.",
+    "Jan.", "Feb.", "Mrz.", "Apr.", "Mai.", "Jun.", "Jul.", "Aug.", "Sep.", "Okt.", "Nov.", "Dez.", "Jh.", "St.", "Abs.", "S.", "Tab.", "Bd.", "Hrsg.", "Kap.", "Lit.", "s.",
+    "Anm.", "dgl.", "u.Ä.", "usw.", "z.T.", "z.Z.", "zzgl.",
+)
+# The line of a page number, with or without a dash on either side.
+PAGE_NUMBER = r"^(?:[—\-]\s*)?\p{Nd}+(?:\s*[—\-])?$"
 # Replacements of single historical characters.
 CHARACTERS = {"ʒ": "z", "Ʒ": "Z", "ƕ": "hv", "ß": "ss", "ẞ": "SS", "ſ": "s", "ﬂ": "fl", "ﬁ": "fi", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "⸗": "-", "ꝰ": "-", "‟": "-"}
 _HIDDEN_DOT, _ELLIPSIS, _CUT = "\ue001", "\ue000", "\ue002"
@@ -52,7 +58,7 @@ def join_hyphens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences by rule: an end mark, blanks and a letter; abbreviations with a second dot and ellipses stay whole."""
-    core = "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS)
+    core = "|".join(a.removesuffix(".").replace(".", "\\.") for a in ABBREVIATIONS)
     ready = join_hyphens(historical(text))
     ready = F.regexp_replace(ready, rf"(?i)(^|[^\p{{L}}\p{{N}}_])({core})\.(\s*[0-9]+(?:\.[0-9]+)*)?\.", f"$1$2{_HIDDEN_DOT}$3{_HIDDEN_DOT}")
     ready = F.replace(ready, F.lit("..."), F.lit(_ELLIPSIS))
@@ -83,7 +89,7 @@ def tokens(text: Column) -> Column:
 
 
 def is_page_number(text: Column) -> Column:
-    return F.trim(text).rlike(r"^(?:[—\-]\s*)?[0-9]+(?:\s*[—\-])?$")
+    return F.trim(text).rlike(PAGE_NUMBER)
 
 
 def mapped_characters(text: Column, table: dict[str, str] | None = None) -> Column:

@@ -73,7 +73,7 @@ def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     t = _tables(spark, sf_dir)
     true, rows = _regions(t), _lines(t)
     tokens = rows.groupBy("page_id", "region_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", tx.tokens(tx.normal_hybrid(F.coalesce("text", F.lit("")))).alias("t")))), lambda x: x["t"]).alias("ts"), F.min_by("coords", "line_ord").alias("first_line")).select("page_id", F.col("region_ord").alias("ord"), F.flatten("ts").alias("tokens"), "first_line")
-    truth = layout.measured(true, "coords").join(tokens, ["page_id", "ord"], "left")
+    truth = written(layout.measured(true, "coords").join(tokens, ["page_id", "ord"], "left"), "truth")  # its areas are read several times
     predicted = layout.measured(_moved(true), "coords").select("page_id", F.col("ord").alias("region_ord"), F.col("coords").alias("region_coords"), F.col("polygon_area").alias("region_area"))
     lines = layout.measured(rows, "coords").select("page_id", F.col("line_ord").alias("ord"), "region_ord", "coords", "bbox", "polygon_area", "text")
     return lines, predicted, truth

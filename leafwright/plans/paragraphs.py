@@ -116,7 +116,7 @@ def oracle_sql() -> dict[str, str]:
         "chunk_word_scores": f"""WITH RECURSIVE {ALIGNED}, s AS (SELECT word_id, 1 / (1 + exp(-0.1::DOUBLE * (ppl - 100))) AS s FROM al)
             SELECT word_id, round(s, 6) AS score, CASE WHEN s > 0.5 THEN 'error' ELSE 'none' END AS error_type FROM s""",
         "paragraph_words": f"WITH {PARTS} SELECT page_id, region_ord, row_number() OVER (PARTITION BY page_id ORDER BY region_ord, i) - 1 AS word_position, ws[i + 1] AS word, ids[least(i + 1, len(ids))]::INTEGER AS line_ord FROM pf",
-        "chunk_page_analysis": f"""WITH {PARTS}, {MODEL}, lp AS (SELECT page_id, region_ord, i, regexp_matches(trim(text, ' '), '^(?:[—\\-]\\s*)?[0-9]+(?:\\s*[—\\-])?$') AS num, len(ws) AS n, coalesce(lp, -20) AS lp FROM pf LEFT JOIN m ON ws[i + 1] = word),
+        "chunk_page_analysis": f"""WITH {PARTS}, {MODEL}, lp AS (SELECT page_id, region_ord, i, regexp_matches(trim(text, ' '), '^(?:[—\\-]\\s*)?\\p{{Nd}}+(?:\\s*[—\\-])?$') AS num, len(ws) AS n, coalesce(lp, -20) AS lp FROM pf LEFT JOIN m ON ws[i + 1] = word),
             c AS (SELECT page_id, region_ord, n, unnest(range(CASE WHEN n <= {SIZE} THEN 1 ELSE ceil((n - {SIZE}) / {step}::DOUBLE)::BIGINT + 1 END)) * {step} AS s FROM (SELECT DISTINCT page_id, region_ord, n FROM lp)),
             cp AS (SELECT c.page_id, c.region_ord, s, exp(-avg(lp)) AS ppl FROM c JOIN lp ON c.page_id = lp.page_id AND c.region_ord = lp.region_ord AND i >= s AND i < s + {SIZE} GROUP BY 1, 2, 3),
             w2 AS (SELECT lp.page_id, lp.region_ord, i, num, avg(ppl) AS ppl FROM lp JOIN cp ON cp.page_id = lp.page_id AND cp.region_ord = lp.region_ord AND i >= s AND i < s + {SIZE} GROUP BY ALL)

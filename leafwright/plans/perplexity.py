@@ -10,7 +10,7 @@ from leafwright.functions import numeric as nm
 from leafwright.functions import text as tx
 from leafwright.operators import chunks, language, statistics
 from leafwright.operators.percentiles import percentiles
-from leafwright.storage import table, written
+from leafwright.storage import bounded_rows, table, written
 
 SIZE, OVERLAP = 20, 10
 
@@ -110,6 +110,17 @@ def word_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("word_id", r6(F.col("logp")).alias("logp"), tx.word_colour(F.round("logp", 6)).alias("colour"))
 
 
+def token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every page text with their places and log probabilities, by a scorer that runs in Arrow batches."""
+    pages = written(_page_words(spark, sf_dir), "page_words")
+    model = language.unigrams(pages.select(F.explode("words").alias("word"))).select("word", "logp")
+    rows = bounded_rows(model, language.MAX_WORDS, "the words of the model")
+    scorer = spark.sparkContext.broadcast(language.UnigramScorer({r["word"]: r["logp"] for r in rows}))
+    texts = pages.select("page_id", F.array_join("words", " ").alias("text"))
+    made = language.token_scores(texts, ["page_id"], "text", scorer)
+    return made.select("page_id", "pos", "token", "start_char", "end_char", r6(F.when(F.col("logp") > -20.0, F.col("logp"))).alias("logp"))
+
+
 def page_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readability of a page from the log probabilities of its words."""
     lp = F.round(-F.ln("ppl"), 6)
@@ -154,7 +165,7 @@ def word_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = (word_chunks, chunk_perplexity, smoothed_word_ppl, page_error_summary, error_islands, iqr_threshold, anomaly_threshold, anomaly_pages, ppl_histogram, page_ppl_stats, chunk_scores, word_logprob, page_readability, error_context, likelihood_score, word_span)
+    names = (word_chunks, chunk_perplexity, smoothed_word_ppl, page_error_summary, error_islands, iqr_threshold, anomaly_threshold, anomaly_pages, ppl_histogram, page_ppl_stats, chunk_scores, word_logprob, page_readability, error_context, likelihood_score, word_span, token_logprobs)
     return {f.__name__: f for f in names}
 
 
@@ -189,6 +200,10 @@ def oracle_sql() -> dict[str, str]:
         "page_ppl_stats": f"WITH {corpus.PPL_SQL} SELECT page_id, count(ppl) AS n, round(avg(ppl), 6) AS mean, round(stddev_pop(ppl), 6) AS stdev, round(max(ppl), 6) AS max FROM p GROUP BY 1",
         "chunk_scores": f"WITH {corpus.PPL_SQL}, s AS (SELECT page_id, pos, 1 / (1 + exp(-0.1::DOUBLE * (ppl - 100))) AS s FROM p WHERE ppl IS NOT NULL) SELECT page_id, pos, round(s, 6) AS score, CASE WHEN s > 0.5 THEN 'error' ELSE 'none' END AS error_type FROM s",
         "word_logprob": f"WITH {corpus.WORDS_SQL}, {MODEL} SELECT word_id, round(lp, 6) AS logp, {COLOUR.format('round(lp, 6)')} AS colour FROM w JOIN m ON lower(text) = word",
+        "token_logprobs": f"""WITH {PAGES.split(', k AS')[0].split(',\n  k AS')[0]}, {MODEL}, t AS (SELECT page_id, string_split(array_to_string(ws, ' '), ' ') AS ts FROM g), i AS (SELECT page_id, ts, unnest(range(len(ts))) AS k FROM t),
+            o AS (SELECT page_id, k, ts[k + 1] AS token, sum(length(ts[k + 1]) + 1) OVER (PARTITION BY page_id ORDER BY k) - length(ts[k + 1]) - 1 AS s FROM i),
+            n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, token, s FROM o WHERE token <> '')
+            SELECT page_id, pos::INTEGER AS pos, token, s::INTEGER AS start_char, (s + length(token))::INTEGER AS end_char, CASE WHEN pos > 0 THEN round(lp, 6) END AS logp FROM n LEFT JOIN m ON lower(token) = word""",
         "page_readability": f"""WITH {corpus.PPL_SQL}, v AS (SELECT page_id, round(-ln(ppl), 6) AS lp FROM p WHERE ppl > 0),
             s AS (SELECT page_id, count(*) AS n, round(avg(lp), 6) AS mean_ll, min(lp) AS ll_min, round(median(lp), 10) AS ll_median, max(lp) AS ll_max, count(*) FILTER (lp < -6) AS low, count(*) FILTER (lp < -10) AS critical FROM v GROUP BY 1),
             t AS (SELECT *, round(exp(-mean_ll), 6) AS ppl, round(low::DOUBLE / n * 100, 6) AS low_percent FROM s),

@@ -103,9 +103,15 @@ def common_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unprocessed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' pages that have no score yet: what an incremental run has left to do."""
+    """Documents' pages without a score from before the last day of scoring: what that day's run had to do."""
     docs = table(spark, sf_dir, "documents").where("page_id is not null").select("page_id").distinct()
-    return docs.join(table(spark, sf_dir, "page_scores").select("page_id"), "page_id", "left_anti")
+    scores = table(spark, sf_dir, "page_scores").select("page_id", F.to_date("scored_at").alias("day"))
+    last = scores.agg(F.max("day").alias("last"))
+    return docs.join(scores.crossJoin(F.broadcast(last)).where("day < last").select("page_id"), "page_id", "left_anti")
+
+
+#: Methods a viewer may ask for, each a function that gives page_id, book_id and score.
+METHODS = {"scores": corpus.page_scores, "words": lambda spark, sf_dir: _word_scores(spark, sf_dir).join(_pages(corpus.words(spark, sf_dir)), "page_id")}
 
 
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,17 +149,35 @@ def viewer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("page_id", "word_count", "error_count", "problem_lines", F.when(F.col("word_count") > 0, r6(1 - F.col("error_count") / F.col("word_count"))).otherwise(1.0).alias("overall_score"))
 
 
-def page_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per page as a viewer lists it: statistics, score, quality, and the neighbours in the book (around its ends)."""
+def page_view(spark: SparkSession, sf_dir: str, method: str = "scores") -> DataFrame:
+    """One record per page as a viewer lists it: statistics, score, quality, and the neighbours in the book (around its ends).
+
+    ``method`` is one of ``METHODS``; any other is refused.
+    """
     from pyspark.sql import Window
 
-    stats = viewer_stats(spark, sf_dir).join(corpus.page_scores(spark, sf_dir), "page_id", "left")
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}; known: {', '.join(METHODS)}")
+    scored = METHODS[method](spark, sf_dir).select("page_id", "book_id", "score")
+    stats = viewer_stats(spark, sf_dir).join(scored, "page_id", "left")
     by = Window.partitionBy("book_id").orderBy("page_id")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     quality = F.coalesce(F.round(1 - F.col("score"), 6), F.col("overall_score"), F.lit(0.0))
     return stats.select("book_id", "page_id", "word_count", "error_count", quality.alias("quality"), F.coalesce(F.lead("page_id").over(by), F.first("page_id").over(whole)).alias("next_page"), F.coalesce(F.lag("page_id").over(by), F.last("page_id").over(whole)).alias("previous_page"))
 
 
+def page_view_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view by the second method: pages rated by their words' error types."""
+    return page_view(spark, sf_dir, "words")
+
+
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that documents name, looked up by id in the view; unknown ones are told."""
+    asked = table(spark, sf_dir, "documents").where("page_id is not null").select("page_id").distinct()
+    view = page_view(spark, sf_dir).select("page_id", "book_id", "quality", F.lit(True).alias("known"))
+    return asked.join(view, "page_id", "left").select("page_id", "book_id", r6(F.col("quality")).alias("quality"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def supervised_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.page_scores(spark, sf_dir).where("score is not null")
     return rows.select("page_id", r6(F.least(F.greatest(1 - F.col("score"), F.lit(0.0)), F.lit(1.0))).alias("overall_score"), (F.col("score") > 0.5).alias("problematic"))
@@ -204,7 +228,7 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = (page_error_scores, record_page_scores, book_summary, book_rollup, page_scores_sorted, paired_stats, paired_p_values, average_ranks, top_differences, score_overlay, describe_scores, moving_average, common_pages, unprocessed_pages, score_histogram, quality_class, line_scores, line_verdicts, viewer_stats, page_view, supervised_stats, page_features, region_types, page_lines, previous_lines, page_texts, book_scores_nested, event_properties)
+    names = (page_error_scores, record_page_scores, book_summary, book_rollup, page_scores_sorted, paired_stats, paired_p_values, average_ranks, top_differences, score_overlay, describe_scores, moving_average, common_pages, unprocessed_pages, score_histogram, quality_class, line_scores, line_verdicts, viewer_stats, page_view, page_view_words, page_lookup, supervised_stats, page_features, region_types, page_lines, previous_lines, page_texts, book_scores_nested, event_properties)
     return {f.__name__: f for f in names}
 
 
@@ -228,6 +252,11 @@ def _tail(r: str) -> str:
     return f"2 * sum({weight} * (greatest(1 - {u} * {u}, 0::DOUBLE)) ** (n / 2::DOUBLE - 2)) * (1 - abs(any_value({r}))) / 600000 / {whole}"
 
 
+def _view(scores: str) -> str:
+    return f"""SELECT book_id, page_id, word_count, error_count, coalesce(round(1 - score, 6), overall_score, 0) AS quality, coalesce(lead(page_id) OVER b, first_value(page_id) OVER a) AS next_page, coalesce(lag(page_id) OVER b, last_value(page_id) OVER a) AS previous_page
+            FROM vs LEFT JOIN {scores} USING (page_id) WINDOW b AS (PARTITION BY book_id ORDER BY page_id), a AS (PARTITION BY book_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
 def _quality(cuts: tuple, names: tuple) -> str:
     return "CASE " + " ".join(f"WHEN g >= {c} THEN '{n}'" for c, n in zip(cuts, names[:-1], strict=True)) + f" ELSE '{names[-1]}' END"
 
@@ -254,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
         "moving_average": f"""WITH {s}, m AS (SELECT book_id, page_id, avg(score) OVER w AS a, row_number() OVER (PARTITION BY book_id ORDER BY page_id) AS i FROM s WHERE score IS NOT NULL WINDOW w AS (PARTITION BY book_id ORDER BY page_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
             SELECT book_id, page_id, round(a, 10) AS moving_average FROM m WHERE i >= 5""",
         "common_pages": f"WITH {s} SELECT page_id, score IS NULL AS unscored FROM s WHERE page_id IN (SELECT page_id FROM words) AND page_id IN (SELECT page_id FROM chunk_pages)",
-        "unprocessed_pages": "SELECT DISTINCT page_id FROM documents WHERE page_id IS NOT NULL AND page_id NOT IN (SELECT page_id FROM page_scores WHERE page_id IS NOT NULL)",
+        "unprocessed_pages": "SELECT DISTINCT page_id FROM documents WHERE page_id IS NOT NULL AND page_id NOT IN (SELECT page_id FROM page_scores WHERE page_id IS NOT NULL AND scored_at::DATE < (SELECT max(scored_at)::DATE FROM page_scores))",
         "score_histogram": f"WITH {s} SELECT least(floor(score * 20), 19)::INTEGER AS bin, count(*) AS n FROM s WHERE score IS NOT NULL GROUP BY 1",
         "quality_class": f"""WITH {s}, v AS (SELECT page_id, round(1 - score, 9) AS g, least(greatest(score, 0), 1) AS c FROM s WHERE score IS NOT NULL)
             SELECT page_id, {_quality((.9, .7, .35), ('Good', 'Fair', 'Poor', 'Very Problematic'))} AS sidebar, {_quality((.9, .7, .5), ('Good', 'Fair', 'Poor', 'Very Problematic'))} AS panel, {_quality((.9, .8, .7), ('good', 'fair', 'poor', 'bad'))} AS dot,
@@ -263,8 +292,9 @@ def oracle_sql() -> dict[str, str]:
         "line_verdicts": f"""WITH {corpus.WORDS_SQL}, v AS (SELECT page_id, region_ord, line_ord, max(coalesce(word_error_score, 0)) AS score FROM w GROUP BY 1, 2, 3)
             SELECT word_id, score, CASE WHEN score > 0.5 THEN 'error' ELSE 'none' END AS error_type FROM w JOIN v USING (page_id, region_ord, line_ord)""",
         "viewer_stats": f"WITH {VIEW} SELECT page_id, word_count, error_count, problem_lines, overall_score FROM vs",
-        "page_view": f"""WITH {s}, {VIEW} SELECT book_id, page_id, word_count, error_count, coalesce(round(1 - score, 6), overall_score, 0) AS quality, coalesce(lead(page_id) OVER b, first_value(page_id) OVER a) AS next_page, coalesce(lag(page_id) OVER b, last_value(page_id) OVER a) AS previous_page
-            FROM vs LEFT JOIN s USING (page_id) WINDOW b AS (PARTITION BY book_id ORDER BY page_id), a AS (PARTITION BY book_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+        "page_view": f"WITH {s}, {VIEW} {_view('s')}",
+        "page_view_words": f"WITH {SECOND}, {VIEW.replace(corpus.WORDS_SQL + ', ', '')}, x AS (SELECT b.*, g.book_id FROM b JOIN (SELECT page_id, max(book_id) AS book_id FROM w GROUP BY 1) g USING (page_id)) {_view('x')}",
+        "page_lookup": f"WITH {s}, {VIEW}, v2 AS ({_view('s')}) SELECT page_id, book_id, round(quality, 6) AS quality, v2.book_id IS NOT NULL OR quality IS NOT NULL AS known FROM (SELECT DISTINCT page_id FROM documents WHERE page_id IS NOT NULL) LEFT JOIN v2 USING (page_id)",
         "supervised_stats": f"WITH {s} SELECT page_id, round(least(greatest(1 - score, 0), 1), 6) AS overall_score, score > 0.5 AS problematic FROM s WHERE score IS NOT NULL",
         "page_features": f"""WITH {corpus.WORDS_SQL}, t AS (SELECT page_id, region_ord, line_ord, CASE WHEN coalesce(text, '') <> '' THEN text END AS t FROM w),
             ln AS (SELECT page_id, region_ord, line_ord, count(t) AS w, coalesce(sum(length(t)), 0) + greatest(count(t) - 1, 0) AS ch FROM t GROUP BY 1, 2, 3), rg AS (SELECT page_id, region_ord, count(*) AS l, sum(w) AS w FROM ln GROUP BY 1, 2),

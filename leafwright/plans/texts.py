@@ -110,7 +110,7 @@ def _squeezed(x: str) -> str:
 
 SUPERVISED = _squeezed("lower(translate(line, 'äöüÄÖÜ' || chr(160), 'aouAOU '))")
 PARTS = f"list_filter(string_split({_squeezed('line')}, ' '), lambda x: x <> '')"
-ABBR = "|".join(a.replace(".", "\\.") for a in tx.ABBREVIATIONS)
+ABBR = "|".join(a.removesuffix(".").replace(".", "\\.") for a in tx.ABBREVIATIONS)
 
 
 def _hyphens(x: str) -> str:
@@ -145,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "tokenize_lines": _line_sql(r"array_to_string(regexp_extract_all(translate(line, '⸗-', '  '), '[\p{L}\p{N}_]+'), '|')"),
         "split_words": _line_sql(f"array_to_string({PARTS}, '|')"),
         "historical_chars": _line_sql(HISTORIC.format("line")),
-        "page_number_lines": _line_sql(r"regexp_matches(trim(line, ' '), '^(?:[—\-]\s*)?[0-9]+(?:\s*[—\-])?$')"),
+        "page_number_lines": _line_sql(r"regexp_matches(trim(line, ' '), '^(?:[—\-]\s*)?\p{Nd}+(?:\s*[—\-])?$')"),
         "escape_html": _line_sql(esc),
         "merge_split_words": "SELECT doc_id, regexp_replace(regexp_replace(text, '⸗\\n*', '', 'g'), '\\n+', ' ', 'g') AS result FROM documents WHERE text IS NOT NULL",
         "hyphen_repair": f"SELECT doc_id, {_hyphens('text')} AS result FROM documents WHERE text IS NOT NULL",
