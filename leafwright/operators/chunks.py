@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.operators.percentiles import percentiles
+from leafwright.storage import written
 
 ERROR_PERPLEXITY = 158.0
 SCORE_PERPLEXITY = 100.0
@@ -75,7 +76,8 @@ def quartile_bound(df: DataFrame, value: str, by: list[str] | None = None) -> Da
 
 def anomaly_threshold(words: DataFrame, page: str, value: str, keep_below: float = 1.5) -> DataFrame:
     """The bound, recomputed over pages whose median anomaly is below ``keep_below``."""
+    words = written(words.where(F.col(value).isNotNull()).select(page, value), "values")  # read by both bounds and the medians
     q = quartile_bound(words, value)
-    scored = words.where(F.col(value).isNotNull()).crossJoin(F.broadcast(q)).withColumn("anomaly", F.greatest((F.col(value) - F.col("q3")) / (F.col("q3") - F.col("q1")), F.lit(0.0)))
+    scored = words.crossJoin(F.broadcast(q)).withColumn("anomaly", F.greatest((F.col(value) - F.col("q3")) / (F.col("q3") - F.col("q1")), F.lit(0.0)))
     kept = scored.groupBy(page).agg(F.median("anomaly").alias("m")).where(F.col("m") < keep_below).select(page)
-    return quartile_bound(words.join(kept, page, "left_semi"), value)
+    return quartile_bound(written(words.join(kept, page, "left_semi").select(value), "kept"), value)

@@ -147,7 +147,7 @@ def test_percentiles_are_exact_over_narrowed_bands(spark):
     points = {"mid": 0.5, "hi": 0.95}
     for by in (None, ["k"]):
         want = df.where("v is not null").groupBy(*(by or [])).agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in points.items()]).collect()
-        for band in (30, 100_000):
+        for band in (100, 100_000):
             got = percentiles(df, "v", points, by, band=band).collect()
             key = lambda r: (str(r[0]), r[-1])
             assert len(got) == len(want)
