@@ -2,8 +2,9 @@
 
 A recognised word is a listed word whose characters went through a channel that confuses one or two
 characters with one or two others and adds stray signs. Which confusions the channel makes, and how
-often, is counted over all pages (``confusion`` keys), not given: a confusion that many different
-words show is likely, one that a single name shows is not.
+often, is counted over all pages (``confusion`` keys): a confusion that many different words show is
+likely, one that a single name shows is not. Only the confusions known of blackletter print are given (``repair.KNOWN``),
+each worth one observation, so that a small table of pages has a channel too.
 """
 
 from __future__ import annotations
