@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafwright import corpus
 from leafwright.operators import chunks, nested
 from leafwright.plans.perplexity import r6
+from leafwright.plans.texts import _squeezed
 from leafwright.sources import pagexml, tables
 from leafwright.storage import table, work_dir
 
@@ -52,6 +53,12 @@ def xml_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagexml.predicted_words(pagexml.words(_read_back(spark, sf_dir))).select("page_id", "region_ord", "line_ord", "word_ord", "reason")
 
 
+def xml_gold_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page file as a list of normalised words: how many, and the words themselves."""
+    made = pagexml.gold_words(_read_back(spark, sf_dir))
+    return made.select("page_id", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"), "corrupt")
+
+
 def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored pages with their islands of errors as JSON, one object a line, read back: words and perplexity of each."""
     words = corpus.scored_words(spark, sf_dir)
@@ -90,7 +97,7 @@ def csv_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (xml_pages, xml_lines, xml_words, xml_errors, json_pages, csv_words, csv_error_rates)}
+    return {f.__name__: f for f in (xml_pages, xml_lines, xml_words, xml_errors, xml_gold_words, json_pages, csv_words, csv_error_rates)}
 
 
 # The same rows from the table: positions among the elements that are there.
@@ -111,6 +118,9 @@ def oracle_sql() -> dict[str, str]:
         "xml_lines": f"WITH {TREE} SELECT page_id, region_ord, coalesce(x.id, '') AS region_id, CASE WHEN {kind} IN ({TYPES}) THEN {kind} ELSE 'other' END AS region_type, line_ord, coalesce(y.id, '') AS line_id, {points}::INTEGER AS n_points FROM l WHERE page_id IS NOT NULL",
         "xml_words": f"WITH {TREE} SELECT page_id, region_ord, line_ord, word_ord, text, word_error_score, CASE WHEN k IN ({ERRORS}) THEN k ELSE 'none' END AS error_type FROM w WHERE page_id IS NOT NULL",
         "xml_errors": f"WITH {TREE} SELECT page_id, region_ord, line_ord, word_ord, CASE WHEN k = 'error' THEN 'type' ELSE format('score {{:.3f}}', word_error_score) END AS reason FROM w WHERE page_id IS NOT NULL AND (k = 'error' OR word_error_score > 0.5)",
+        "xml_gold_words": f"""WITH {TREE}, gl AS (SELECT page_id, region_ord, line_ord, array_to_string(list_transform(coalesce(list_filter(y.words, lambda z: z IS NOT NULL), []), lambda z: coalesce(z.text, '')), ' ') AS t FROM l),
+            gp AS (SELECT page_id, {_squeezed("translate(string_agg(t, ' ' ORDER BY region_ord, line_ord), '⸗–—' || chr(160), '--- ')")} AS t FROM gl GROUP BY 1), ga AS (SELECT page_id, coalesce(t, '') AS t FROM pg LEFT JOIN gp USING (page_id) WHERE page_id IS NOT NULL)
+            SELECT page_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END::INTEGER AS n_words, t AS text, false AS corrupt FROM ga""",
         "json_pages": f"""WITH {corpus.PPL_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM p), f AS (SELECT *, n - row_number() OVER (PARTITION BY page_id ORDER BY pos) AS run FROM a WHERE coalesce(ppl, 0) > 158),
             g AS (SELECT page_id, count(DISTINCT run) AS islands, count(*) AS held FROM f GROUP BY 1)
             SELECT c.page_id, coalesce(len(ws), 0)::INTEGER AS n_words, coalesce(len(ls), 0)::INTEGER AS n_ids, round(CASE WHEN ps IS NOT NULL THEN coalesce(list_sum(list_filter(ps, lambda x: x IS NOT NULL AND NOT isnan(x))), 0::DOUBLE) END, 6) AS ppl, coalesce(islands, 0)::INTEGER AS n_islands, coalesce(held, 0)::INTEGER AS n_island_words FROM c LEFT JOIN g ON c.page_id = g.page_id""",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from leafwright import corpus
 from leafwright.functions import geometry as geo
-from leafwright.functions.text import words_of
+from leafwright.functions.text import normal_gold, words_of
 
 WORD = "struct<_id:string,_text:string,_error_score:double,_error_type:string,TextEquiv:array<struct<Unicode:string>>>"
 LINE = f"struct<_id:string,_text:string,Coords:struct<_points:string>,TextEquiv:array<struct<Unicode:string>>,Word:array<{WORD}>>"
@@ -39,11 +39,16 @@ def regions(pages: DataFrame) -> DataFrame:
     return r.select("page_id", "region_ord", F.col("r._id").alias("region_id"), F.col("r._type").alias("type"), corpus.raw_region_type(F.col("r._type")).alias("region_type"), F.col("r.Coords._points").alias("coords"), F.col("r.TextLine").alias("lines"))
 
 
+def _line_text(line):
+    """The first text equivalent that is not empty, else the texts of the words, else the text as an attribute."""
+    text = lambda e: F.get(F.filter(e, lambda t: F.coalesce(t["Unicode"], F.lit("")) != ""), F.lit(0))["Unicode"]
+    return F.coalesce(text(line["TextEquiv"]), F.array_join(F.transform(line["Word"], lambda w: F.trim(F.coalesce(text(w["TextEquiv"]), w["_text"]))), " "), line["_text"])
+
+
 def lines(pages: DataFrame) -> DataFrame:
     """Lines with their text and words; ``n_points`` allows dropping lines without a usable polygon."""
-    text = lambda e: F.filter(e, lambda t: F.coalesce(t["Unicode"], F.lit("")) != "")[0]["Unicode"]
     x = regions(pages).select("page_id", "region_ord", "region_id", "region_type", F.posexplode("lines").alias("line_ord", "l"))
-    own = F.coalesce(text(F.col("l.TextEquiv")), F.array_join(F.transform("l.Word", lambda w: F.trim(F.coalesce(text(w["TextEquiv"]), w["_text"]))), " "), F.col("l._text"))
+    own = _line_text(F.col("l"))
     return x.select("page_id", "region_ord", "region_id", "region_type", "line_ord", F.col("l._id").alias("line_id"), F.col("l.Coords._points").alias("coords"), F.size(geo.points(F.col("l.Coords._points"))).alias("n_points"), own.alias("text"), F.col("l.Word").alias("scored"))
 
 
@@ -57,6 +62,16 @@ def words(pages: DataFrame) -> DataFrame:
     return flat.select("page_id", "region_ord", "region_id", "region_type", "line_ord", "line_id", "word_ord", F.col("w.text").alias("text"), F.col("w.score").alias("word_error_score"), corpus.error_type(F.col("w.kind")).alias("error_type"))
 
 
+def gold_words(pages: DataFrame) -> DataFrame:
+    """``page_id, words, corrupt``: a ground-truth page as one list of normalised words, region by region in order.
+
+    A page without text has no words (an empty list), and so has a file that cannot be parsed, which ``corrupt`` tells; a
+    missing file is no row.
+    """
+    texts = F.transform(F.coalesce("regions", F.array()), lambda r: F.transform(F.coalesce(r["TextLine"], F.array()), lambda x: F.coalesce(_line_text(x), F.lit(""))))
+    return pages.select("page_id", words_of(normal_gold(F.array_join(F.flatten(texts), " "))).alias("words"), F.col("corrupt").isNotNull().alias("corrupt"))
+
+
 def predicted_words(words_: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Words in error: by type, or else by a score above the threshold, with the reason."""
     by_type, by_score = F.col("error_type") == "error", F.coalesce(F.col("word_error_score") > threshold, F.lit(False))

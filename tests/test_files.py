@@ -77,3 +77,12 @@ def test_event_windows(spark):
     rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 1.0D AS value UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a', 2.0D")
     assert [(r["n"], r["total"]) for r in incremental.event_windows(rows).collect()] == [(2, 3.0)]
     assert incremental.event_windows(rows.where(F.lit(False))).count() == 0
+
+
+def test_gold_pages_as_word_lists(spark, tmp_path):
+    (tmp_path / "one.xml").write_text(RAW)
+    (tmp_path / "empty.xml").write_text('<PcGts><Page imageFilename="p.png" imageHeight="1" imageWidth="1"></Page></PcGts>')
+    (tmp_path / "bad.xml").write_text("<PcGts><Page><TextRegion></Page>")
+    got = {r["page_id"]: (list(r["words"]), r["corrupt"]) for r in pagexml.gold_words(pagexml.read_pages(spark, str(tmp_path))).collect()}
+    assert got["one"] == (["Der", "alte", "Turm", "ein", "Wort"], False) and got["empty"] == ([], False)
+    assert "bad" not in got or got["bad"] == ([], True)

@@ -165,3 +165,33 @@ def test_a_model_of_any_size_gives_the_same_probabilities(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_WORDS", 2)
     monkeypatch.setattr(language, "HOT_WORDS", 2)
     assert sorted(language.with_logp(words, model).collect(), key=lambda r: r["i"]) == want and len(want) == 10
+
+
+def test_token_scores_have_places_and_none_for_the_first(spark):
+    from leafwright.operators import language
+
+    texts = spark.createDataFrame([(1, "Der  Turm x"), (2, " "), (3, None), (4, "")], "doc bigint, text string")
+    scorer = language.UnigramScorer({"der": -1.0, "turm": -2.0})
+    want = [(1, 0, "Der", 0, 3, None), (1, 1, "Turm", 5, 9, -2.0), (1, 2, "x", 10, 11, -20.0)]
+    for held in (scorer, spark.sparkContext.broadcast(scorer)):
+        assert [tuple(r) for r in language.token_scores(texts, ["doc"], "text", held).orderBy("pos").collect()] == want
+    assert language.token_scores(texts.where("1 = 0"), ["doc"], "text", scorer).count() == 0
+
+
+def test_a_view_by_an_unknown_method_is_refused(spark):
+    from leafwright.plans import scores
+
+    with pytest.raises(ValueError, match="unknown method"):
+        scores.page_view(spark, "nowhere", "colour")
+
+
+def test_a_trained_model_is_kept_and_loaded(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(f"p{i}", *[rng.random() for _ in features.FEATURES], "der Turm steht" if i % 2 else "das Haus") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id string, " + ", ".join(f"{f} double" for f in features.FEATURES) + ", text string")
+    made = features.hashed_embedding(df, "text", 8).withColumn("label", (F.length("text") > 8).cast("double"))
+    model, metrics = features.train(made, "label", {"numTrees": [5], "maxDepth": [4]}, folds=2)
+    assert metrics["rmse"] < 0.3  # only the embedding tells
+    features.save_model(model, f"file://{tmp_path}/m")
+    want, got = (sorted(map(tuple, features.score_pages(m, made).collect())) for m in (model, features.load_model(f"file://{tmp_path}/m")))
+    assert got == want and len(got) == 60
