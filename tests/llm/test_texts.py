@@ -413,3 +413,28 @@ def test_what_remains_keeps_its_offsets(spark):
     texts = {5: "xx" + passage, 2: passage + "yy", 9: "zz" + passage + "ww", 11: passage, 12: None, 13: ""}
     got = {tuple(r) for r in spans.remaining(documents(spark, texts), 40).collect()}
     assert got == {(2, 0, 62, passage + "yy"), (5, 0, 2, "xx"), (9, 0, 2, "zz"), (9, 62, 64, "ww")}
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    """No rows in, no rows out, whatever else the tables hold."""
+    docs = spark.createDataFrame([], "doc_id bigint, text string, start int, end int, window string, doc_a int")
+    assert spans.remaining(docs).count() == 0 and spans.shared_share(docs).count() == 0 and spans.shared_spans(docs, hot=0).count() == 0
+    words = spark.createDataFrame([], "word_id bigint, page_id string, region_ord int, line_ord int, word_ord int, text string, piece int, block int, most int, ends string")
+    cut = pieces.split_items(words, ["page_id", "region_ord"])
+    assert cut.count() == 0 and pieces.rejoined(cut, ["page_id", "region_ord"]).count() == 0
+    sizes = spark.createDataFrame([], "item bigint, size bigint, grp int, row int, bin_no int")
+    assert packing.kept_items(packing.pack(sizes), sizes).count() == 0 and packing.divided_items(packing.pack(sizes)).count() == 0
+    counted_ = spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint, block int, room int, span int")
+    targets = spark.createDataFrame([("a", 0.5, 2), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
+    for plan in (mixing.mixture_plan(counted_, targets), mixing.mixture_plan(counted_)):
+        report = mixing.share_report(mixing.mixed(counted_, plan), plan).collect()
+        assert all(r["tokens"] == 0 and not r["falls_short"] for r in report)
+
+
+def test_null_sources_sizes_and_ids(spark):
+    rows = [(1, "a", 10), (1, "a", 10), (None, "a", 5), (2, None, 50), (3, "a", None), (4, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 3), (None, 0.3, 1)], "source string, target_share double, max_repeats int")
+    plan = mixing.mixture_plan(docs, targets)
+    got = {r["source"]: (r["tokens"], r["falls_short"]) for r in mixing.share_report(mixing.mixed(docs, plan), plan).collect()}
+    assert got["b"] == (0, True) and got["a"][0] <= 15 and not got["a"][1] and set(got) == {"a", "b"}
