@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,21 @@ REGION_TYPES = ("paragraph", "page_number", "header", "heading", "marginalia", "
 ERROR_TYPES = ("none", "ocr", "spelling", "hallucination", "missing", "error", "merge")
 
 
+def once(df: DataFrame, *keys: str, apart: tuple[str, ...]) -> DataFrame:
+    """Rows without repeats by their keys; rows that lack a key are told apart by the columns ``apart``.
+
+    These are few, so that a query that needs few columns still reads few.
+    """
+    lacking = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return df.withColumn("_rest", F.when(lacking, F.struct(*apart))).dropDuplicates([*keys, "_rest"]).drop("_rest")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in flat form; a word delivered twice (on the same page) counts once.
 
     Rows are brought together by page, which what follows groups, joins and orders by: no second shuffle.
     """
-    return table(spark, sf_dir, "words").drop("loaded_at").repartition("page_id").dropDuplicates(["page_id", "word_id"])
+    return once(table(spark, sf_dir, "words").drop("loaded_at").repartition("page_id"), "page_id", "word_id", apart=("region_ord", "line_ord", "word_ord"))
 
 
 def lines(words_: DataFrame) -> DataFrame:
@@ -36,13 +47,13 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, page_id, score``: each page once, NaN as null."""
-    rows = table(spark, sf_dir, "page_scores").drop("loaded_at").dropDuplicates(["page_id"])
+    rows = once(table(spark, sf_dir, "page_scores").drop("loaded_at"), "page_id", apart=("book_id", "xml_path", "score"))
     return rows.select("book_id", "page_id", "xml_path", F.nanvl("score", F.lit(None).cast("double")).alias("score"))
 
 
 def scored_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, page_id, pos, word, line_id, ppl`` of every scored word of every page, each page once."""
-    pages = table(spark, sf_dir, "chunk_pages").drop("loaded_at", "run_date").dropDuplicates(["page_id"])
+    pages = once(table(spark, sf_dir, "chunk_pages").drop("loaded_at", "run_date"), "page_id", apart=("book_id", "word_smoothed_ppl_page"))
     zipped = F.arrays_zip(F.col("all_words_page").alias("word"), F.col("all_word_line_ids").alias("line_id"), F.col("word_smoothed_ppl_page").alias("ppl"))
     return pages.select("book_id", "page_id", F.posexplode(zipped).alias("pos", "w")).select("book_id", "page_id", "pos", "w.word", "w.line_id", "w.ppl")
 

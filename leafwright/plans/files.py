@@ -65,7 +65,7 @@ def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunks.islands(words, ["page_id"], "pos", F.coalesce(F.col("ppl"), F.lit(0.0)) > chunks.ERROR_PERPLEXITY, {"word": "words", "line_id": "line_ids"})
     island = F.struct(F.lit("island").alias("type"), "start_idx", "end_idx", "words", "line_ids")
     problems = found.groupBy("page_id").agg(F.array_sort(F.collect_list(island)).alias("problematic_regions"))
-    pages = table(spark, sf_dir, "chunk_pages").dropDuplicates(["page_id"]).select("page_id", "all_words_page", "all_word_line_ids", "word_smoothed_ppl_page")
+    pages = corpus.once(table(spark, sf_dir, "chunk_pages").drop("loaded_at", "run_date"), "page_id", apart=("book_id", "word_smoothed_ppl_page")).select("page_id", "all_words_page", "all_word_line_ids", "word_smoothed_ppl_page")
     folder = _folder(spark)
     tables.write_json(pages.join(problems, "page_id", "left"), folder)
     back = tables.read_json(spark, folder, tables.CHUNK_PAGES, lines=True)

@@ -195,3 +195,11 @@ def test_a_trained_model_is_kept_and_loaded(spark, tmp_path):
     features.save_model(model, f"file://{tmp_path}/m")
     want, got = (sorted(map(tuple, features.score_pages(m, made).collect())) for m in (model, features.load_model(f"file://{tmp_path}/m")))
     assert got == want and len(got) == 60
+
+
+def test_rows_without_a_key_are_kept_apart(spark):
+    from leafwright import corpus
+
+    rows = [("p", 1, "a"), ("p", 1, "a"), ("p", 2, "b"), ("p", None, "c"), ("p", None, "d"), ("p", None, "d"), (None, 1, "e"), (None, 1, "f")]
+    got = corpus.once(spark.createDataFrame(rows, "page_id string, word_id int, text string"), "page_id", "word_id", apart=("text",)).collect()
+    assert sorted(r["text"] for r in got) == ["a", "b", "c", "d", "e", "f"]
