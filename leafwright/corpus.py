@@ -20,7 +20,8 @@ def once(df: DataFrame, *keys: str, apart: tuple[str, ...]) -> DataFrame:
     These are few, so that a query that needs few columns still reads few.
     """
     lacking = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    return df.withColumn("_rest", F.when(lacking, F.struct(*apart))).dropDuplicates([*keys, "_rest"]).drop("_rest")
+    rest = {f"_apart_{c}": F.when(lacking, F.col(c)) for c in apart}
+    return df.withColumns(rest).dropDuplicates([*keys, *rest]).drop(*rest)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
