@@ -15,8 +15,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word in its consistent spelling; each word once, words without an id once a text."""
-    words = table(spark, sf_dir, "words").select("word_id", "text").distinct()
-    return looks.with_plain_text(words, "text", ("word_id",)).select("word_id", F.col("plain").alias("text"))
+    spelled = looks.with_plain_text(table(spark, sf_dir, "words").select("word_id", "text"), "text", ("word_id",))
+    return spelled.distinct().select("word_id", F.col("plain").alias("text"))
 
 
 def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
